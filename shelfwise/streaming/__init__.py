@@ -1,0 +1 @@
+"""Empty on purpose: every source is a batch extract and every load a full reload."""
