@@ -50,5 +50,11 @@ def safe_divide(x: Column, y: Column) -> Column:
     return F.try_divide(x.cast("double"), y.cast("double"))
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """Half-up rounding that is not thrown by the last bits of a double: 0.23375 may be
+    held as 0.23374999999999999, so those bits are dropped first."""
+    return F.round(x.cast("decimal(38,9)"), digits).cast("double")
+
+
 def ratio(x: Column, y: Column, digits: int = 4) -> Column:
-    return F.round(safe_divide(x, y), digits)
+    return rounded(safe_divide(x, y), digits)

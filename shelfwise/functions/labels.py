@@ -65,7 +65,10 @@ def alert_code(stock: Column, rop: Column) -> Column:
 
 
 def alert_label(code: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in ALERTS]), code)
+    labelled = F.when(code == 1, ALERTS[0])
+    for number, label in enumerate(ALERTS[1:], start=2):
+        labelled = labelled.when(code == number, label)
+    return labelled
 
 
 def alert_sort(label: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import ABC_A_MAX_PCT, ABC_B_MAX_PCT
+from shelfwise.functions.casting import ratio
 from shelfwise.operators.ordered import running_total
 
 PCT_DIGITS = 4
@@ -63,7 +64,7 @@ def classified(products: DataFrame, abc_labels: DataFrame) -> DataFrame:
 
 def _share_of_all(count: Column) -> Column:
     """Percent of the grand total; the window sees one row per class."""
-    return F.round(count * 100.0 / F.sum(count).over(Window.partitionBy()), 2)
+    return ratio(count * 100, F.sum(count).over(Window.partitionBy()), 2)
 
 
 def class_summary(dim_product: DataFrame) -> DataFrame:
@@ -83,9 +84,7 @@ def class_distribution(dim_product: DataFrame) -> DataFrame:
     margin = F.col("default_gross_margin_pct")
     per_class = dim_product.groupBy("abc_class").agg(
         F.count(F.lit(1)).alias("sku_count"),
-        F.round(
-            F.try_divide(F.sum(margin).cast("double"), F.count(margin).cast("double")), 2
-        ).alias("avg_gross_margin_pct"),
+        ratio(F.sum(margin), F.count(margin), 2).alias("avg_gross_margin_pct"),
     )
     return per_class.select(
         "abc_class",

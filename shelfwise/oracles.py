@@ -171,7 +171,7 @@ def with_ctes(query: str, extra: dict[str, str] | None = None) -> str:
     used: list[str] = []
 
     def visit(sql: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", sql)):
+        for word in dict.fromkeys(re.findall(r"\b[a-z_0-9]+\b", sql)):
             if word in known and word not in seen:
                 seen.add(word)
                 visit(known[word])
@@ -179,7 +179,26 @@ def with_ctes(query: str, extra: dict[str, str] | None = None) -> str:
 
     visit(query)
     chain = ",\n".join(f"{name} AS MATERIALIZED ({known[name]})" for name in used)
-    return f"WITH {chain}\n{query}" if chain else query
+    return _steady_rounding(f"WITH {chain}\n{query}" if chain else query)
+
+
+def _steady_rounding(sql: str) -> str:
+    """ROUND(x, 1|2|4) of doubles, done on nine decimals: DuckDB rounds a double after
+    multiplying it, which moves values that lie a last bit below a half."""
+    start = sql.find("ROUND(")
+    if start < 0:
+        return sql
+    depth, end = 1, start + len("ROUND(")
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    inside = _steady_rounding(sql[start + len("ROUND(") : end - 1])
+    value, _, digits = inside.rpartition(",")
+    if digits.strip() in ("1", "2", "4"):
+        done = f"CAST(round(CAST({value} AS DECIMAL(38,9)),{digits}) AS DOUBLE)"
+    else:
+        done = f"round({inside})"
+    return sql[:start] + done + _steady_rounding(sql[end:])
 
 
 # -- data quality -------------------------------------------------------------------
@@ -370,7 +389,7 @@ SELECT product_sk, CAST(total_sales_dollars AS DECIMAL(22,2)) AS total_sales_dol
         "abc04_backfill": "SELECT * FROM dim_product",
         "abc05_verify": """
 SELECT abc_class, COUNT(*) AS sku_count,
-  ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 2)::DOUBLE AS sku_pct,
+  ROUND(CAST(COUNT(*) * 100 AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), 2) AS sku_pct,
   CAST(SUM(default_retail_price) AS DECIMAL(21,2)) AS sample_value
 FROM dim_product GROUP BY abc_class""",
         "kpi_a2_sales_totals": """
@@ -406,7 +425,7 @@ FROM (SELECT e.end_qty, s.product_sk IS NULL AND e.end_qty > 0 AS dead
         ON e.product_sk = s.product_sk AND e.store_sk = s.store_sk)""",
         "kpi_c1_abc_distribution": """
 SELECT abc_class, COUNT(*) AS sku_count,
-  ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 2)::DOUBLE AS sku_pct,
+  ROUND(CAST(COUNT(*) * 100 AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), 2) AS sku_pct,
   ROUND(CAST(SUM(default_gross_margin_pct) AS DOUBLE) / COUNT(default_gross_margin_pct), 2)
     AS avg_gross_margin_pct
 FROM dim_product GROUP BY abc_class""",
@@ -748,6 +767,7 @@ JOIN dim_product p ON a.product_sk = p.product_sk WHERE a.code = 2""",
 FROM class_m WHERE abc_class_display IS NOT NULL
 UNION ALL SELECT 'brand', grp, brand, NULL, {repl}
 FROM {product.replace('FROM m ', 'FROM product_m m ')}
+WHERE total_sales_qty IS NOT NULL OR total_snapshot_records IS NOT NULL
 UNION ALL SELECT 'store', grp, brand, store_number, {repl}
 FROM {pair.replace('FROM m ', 'FROM product_store_m m ')}""",
             _nested("class") | _nested("product") | _nested("product_store"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.config import BEST_SELLERS_N, DSI_DAYS
-from shelfwise.functions.casting import safe_divide
+from shelfwise.functions.casting import ratio, rounded, safe_divide
 from shelfwise.plans.marts import BEGINNING, ENDING
 
 PAIR = ["product_sk", "store_sk"]
@@ -45,8 +45,8 @@ def turnover_dsi(fact_sales: DataFrame, snapshot: DataFrame) -> DataFrame:
         F.round((F.col("beg") + F.col("end")) / 2, 0)
         .cast("decimal(28,0)")
         .alias("avg_inventory_value"),
-        F.round(turnover, 2).alias("inventory_turnover"),
-        F.round(safe_divide(F.lit(DSI_DAYS), turnover), 1).alias("dsi_days"),
+        rounded(turnover, 2).alias("inventory_turnover"),
+        ratio(F.lit(DSI_DAYS), turnover, 1).alias("dsi_days"),
     )
 
 
@@ -72,7 +72,7 @@ def stockout_rate(snapshot: DataFrame) -> DataFrame:
     return ending_positions(snapshot).agg(
         F.count(F.lit(1)).alias("total_sku_store_combos"),
         empty.alias("stockout_count"),
-        F.round(safe_divide(empty * 100, F.count(F.lit(1))), 2).alias("stockout_rate_pct"),
+        ratio(empty * 100, F.count(F.lit(1)), 2).alias("stockout_rate_pct"),
     )
 
 
@@ -82,7 +82,7 @@ def dead_stock(fact_sales: DataFrame, snapshot: DataFrame) -> DataFrame:
     return unsold_flagged(fact_sales, snapshot).agg(
         F.count(F.lit(1)).alias("total_ending_positions"),
         F.count_if(dead).alias("dead_stock_count"),
-        F.round(safe_divide(F.count_if(dead) * 100, F.count(F.lit(1))), 2).alias(
+        ratio(F.count_if(dead) * 100, F.count(F.lit(1)), 2).alias(
             "dead_stock_pct"
         ),
         F.round(units, 0).cast("decimal(28,0)").alias("dead_stock_total_units"),
@@ -113,7 +113,7 @@ def best_sellers(
             "abc_class",
             F.round("revenue", 0).cast("decimal(28,0)").alias("total_revenue"),
             F.col("qty").cast("decimal(28,2)").alias("total_qty_sold"),
-            F.round(safe_divide(F.col("price_sum"), F.col("price_rows")), 2).alias(
+            ratio(F.col("price_sum"), F.col("price_rows"), 2).alias(
                 "avg_selling_price"
             ),
         )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import DEAD_STOCK_WINDOW_DAYS, DSI_DAYS, Replenishment
-from shelfwise.functions.casting import ratio, safe_divide
+from shelfwise.functions.casting import ratio, rounded, safe_divide
 from shelfwise.functions.labels import (
     UNCLASSIFIED,
     abc_display,
@@ -511,7 +511,7 @@ def _output(name: str) -> Column:
     if name in ("dead_stock_value", "unclassified_dead_stock_value", *UNCLASSIFIED_SUMS):
         return F.col(name).cast("decimal(28,4)").alias(name)
     if name in _DOUBLES:
-        return F.round(name, 4).alias(name)
+        return rounded(F.col(name)).alias(name)
     return F.col(name)
 
 

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import DSI_DAYS, REORDER_WEEKS, WEEKS_PER_YEAR
-from shelfwise.functions.casting import ratio, safe_divide
-from shelfwise.functions.labels import ALERTS, abc_priority_group, abc_sort, risk_quadrant
+from shelfwise.functions.casting import ratio, rounded, safe_divide
+from shelfwise.functions.labels import (
+    abc_priority_group,
+    abc_sort,
+    alert_label,
+    risk_quadrant,
+)
 from shelfwise.operators.ordered import number_rows
 from shelfwise.plans import kpis
 from shelfwise.plans.measures import (
@@ -90,7 +95,7 @@ def store_abc_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
             CLASS,
             F.col("total_revenue").cast("decimal(28,2)").alias("total_revenue"),
             end.cast("decimal(28,4)").alias("ending_inventory_value"),
-            F.round(turnover, 4).alias("inventory_turnover"),
+            rounded(turnover).alias("inventory_turnover"),
             ratio(F.lit(DSI_DAYS), turnover).alias("dsi_days"),
             ratio(
                 F.coalesce(F.col("ending_out_of_stock_rows"), F.lit(0)), F.col("ending_rows")
@@ -168,7 +173,6 @@ def rop_gap(w: Warehouse, where: Slice = Slice()) -> DataFrame:
 def reorder_by_abc(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     """SKUs per class and alert, in class order."""
     alerts = product_alerts(Context(w, [], where), w.settings.replenishment)
-    label = F.element_at(F.array(*[F.lit(a) for a in ALERTS]), F.col("alert_code"))
     return (
         alerts.filter(F.col("alert_code").isNotNull())
         .join(_product_names(w, "abc_class"), PRODUCT)
@@ -177,7 +181,7 @@ def reorder_by_abc(w: Warehouse, where: Slice = Slice()) -> DataFrame:
         .select(
             F.coalesce("abc_class", F.lit("Unclassified")).alias(CLASS),
             abc_sort().alias("abc_class_sort"),
-            label.alias("reorder_alert"),
+            alert_label(F.col("alert_code")).alias("reorder_alert"),
             "sku_count",
         )
         .orderBy("abc_class_sort", "reorder_alert")
@@ -189,7 +193,7 @@ def top_reorder(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     return (
         alerts.filter(F.col("alert_code") == 2)
         .join(_product_names(w, "brand"), PRODUCT)
-        .select("brand", F.round("reorder_point_qty", 4).alias("reorder_point_qty"))
+        .select("brand", rounded(F.col("reorder_point_qty")).alias("reorder_point_qty"))
         .orderBy(F.desc("reorder_point_qty"), "brand")
     )
 
@@ -290,7 +294,7 @@ def inventory_growth(w: Warehouse) -> DataFrame:
         beg.alias("beginning_inventory_value"),
         end.alias("ending_inventory_value"),
         (end - beg).cast("decimal(28,4)").alias("inventory_growth"),
-        F.round(safe_divide((end - beg) * 100, beg), 4).alias("inventory_growth_pct"),
+        ratio((end - beg) * 100, beg).alias("inventory_growth_pct"),
     )
 
 
@@ -341,8 +345,8 @@ def sku_week_run_rate(w: Warehouse, where: Slice = Slice()) -> DataFrame:
             "brand",
             "total_revenue",
             ratio(F.col("total_revenue"), weeks).alias("revenue_per_week"),
-            F.round(velocity, 4).alias("qty_per_week"),
-            F.round(velocity * REORDER_WEEKS, 4).alias("reorder_trigger_qty"),
+            rounded(velocity).alias("qty_per_week"),
+            rounded(velocity * REORDER_WEEKS).alias("reorder_trigger_qty"),
         )
     )
 
