@@ -34,19 +34,22 @@ def inventory_values(snapshot: DataFrame) -> DataFrame:
 
 
 def turnover_dsi(fact_sales: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Both sides are single-row totals, so the join is of one row with one row."""
-    totals = fact_sales.agg(F.sum("estimated_cogs").cast("decimal(28,4)").alias("cogs"))
+    cogs = fact_sales.agg(F.sum("estimated_cogs").cast("decimal(28,4)")).scalar()
     average = (F.col("beg") + F.col("end")).cast("double") / 2
     turnover = safe_divide(F.col("cogs"), average)
-    return totals.crossJoin(inventory_values(snapshot)).select(
-        F.round("cogs", 0).cast("decimal(28,0)").alias("total_cogs"),
-        F.round("beg", 0).cast("decimal(28,0)").alias("beg_inventory_value"),
-        F.round("end", 0).cast("decimal(28,0)").alias("end_inventory_value"),
-        F.round((F.col("beg") + F.col("end")) / 2, 0)
-        .cast("decimal(28,0)")
-        .alias("avg_inventory_value"),
-        rounded(turnover, 2).alias("inventory_turnover"),
-        ratio(F.lit(DSI_DAYS), turnover, 1).alias("dsi_days"),
+    return (
+        inventory_values(snapshot)
+        .withColumn("cogs", cogs)
+        .select(
+            F.round("cogs", 0).cast("decimal(28,0)").alias("total_cogs"),
+            F.round("beg", 0).cast("decimal(28,0)").alias("beg_inventory_value"),
+            F.round("end", 0).cast("decimal(28,0)").alias("end_inventory_value"),
+            F.round((F.col("beg") + F.col("end")) / 2, 0)
+            .cast("decimal(28,0)")
+            .alias("avg_inventory_value"),
+            rounded(turnover, 2).alias("inventory_turnover"),
+            ratio(F.lit(DSI_DAYS), turnover, 1).alias("dsi_days"),
+        )
     )
 
 

@@ -272,52 +272,86 @@ class Context:
     def keys(self, *extra: str) -> list[str]:
         return [*self.grain, *[e for e in extra if e not in self.grain]]
 
-    def group(self, fact: DataFrame, sums: dict[str, Column], *extra: str) -> DataFrame:
-        """Additive sums of a fact by the grain and ``extra`` keys.
+    def sums(self, sources: list[tuple[DataFrame, dict[str, Column]]], *extra: str) -> DataFrame:
+        """Sums of row values from several facts, by the grain and ``extra`` keys.
 
-        The class of a product is looked up after the fact is reduced to products.
+        The facts are put under one another and grouped once, so they share a single
+        shuffle and each task combines its rows before it. The class of a product is
+        looked up after the rows are reduced to products.
         """
         keys = self.keys(*extra)
+        names = [n for _, values in sources for n in values]
+        totals = [F.sum(n).alias(n) for n in names]
+        fine = keys
+        if self.by_class:
+            fine = list(dict.fromkeys([k for k in keys if k != CLASS] + [PRODUCT]))
+        rows = [
+            fact.select(*fine, *[v.alias(n) for n, v in values.items()])
+            for fact, values in sources
+        ]
+        reduced = (
+            reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+            .groupBy(*fine)
+            .agg(*totals)
+        )
         if not self.by_class:
-            return fact.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
-        fine = list(dict.fromkeys([k for k in keys if k != CLASS] + [PRODUCT]))
-        reduced = fact.groupBy(*fine).agg(*[c.alias(n) for n, c in sums.items()])
+            return reduced
         named = reduced.join(self.products.select(PRODUCT, CLASS), PRODUCT, "left")
         if PRODUCT in keys:
-            return named.select(*keys, *sums)
-        return named.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+            return named.select(*keys, *names)
+        return named.groupBy(*keys).agg(*totals)
 
 
-def _sales_sums(wanted: set[str]) -> dict[str, Column]:
+def _sales_values(wanted: set[str]) -> dict[str, Column]:
     columns = {
-        "total_revenue": F.sum("sales_dollars"),
-        "total_sales_qty": F.sum("sales_quantity"),
-        "total_cogs": F.sum("estimated_cogs"),
+        "total_revenue": F.col("sales_dollars"),
+        "total_sales_qty": F.col("sales_quantity"),
+        "total_cogs": F.col("estimated_cogs"),
     }
     return {n: c for n, c in columns.items() if n in wanted}
 
 
-def _snapshot_sums(wanted: set[str]) -> dict[str, Column]:
+def _snapshot_values(wanted: set[str]) -> dict[str, Column]:
     ending, beginning = F.col("snapshot_type") == ENDING, F.col("snapshot_type") == BEGINNING
     value, on_hand = F.col("total_inventory_value"), F.col("quantity_on_hand")
-
-    def rows(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.lit(1)).cast("bigint"))
-
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     columns = {
-        "beginning_inventory_value": F.sum(F.when(beginning, value)),
-        "ending_inventory_value": F.sum(F.when(ending, value)),
-        "current_stock_qty": F.sum(F.when(ending, on_hand)),
-        "total_snapshot_records": F.sum(F.lit(1).cast("bigint")),
-        "out_of_stock_records": F.count_if(on_hand <= 0),
-        "beginning_rows": rows(beginning),
-        "ending_rows": rows(ending),
-        "ending_out_of_stock_rows": rows(ending & (on_hand <= 0)),
-        "sellable_ending_value": F.sum(F.when(ending & (on_hand > 0), value)),
+        "beginning_inventory_value": F.when(beginning, value),
+        "ending_inventory_value": F.when(ending, value),
+        "current_stock_qty": F.when(ending, on_hand),
+        "total_snapshot_records": one,
+        "out_of_stock_records": F.when(on_hand <= 0, one).otherwise(none),
+        "beginning_rows": F.when(beginning, one),
+        "ending_rows": F.when(ending, one),
+        "ending_out_of_stock_rows": F.when(ending & (on_hand <= 0), one),
+        "sellable_ending_value": F.when(ending & (on_hand > 0), value),
     }
     return {n: c for n, c in columns.items() if n in wanted}
 
 
+def _sources(ctx: Context, wanted: set[str]) -> list[tuple[DataFrame, dict[str, Column]]]:
+    """The facts to read for the wanted sums, each with its row values.
+
+    Without a date in grain or slice, the window is a part of the sales that are read
+    anyway; if nothing else of them is wanted, only its partitions are read.
+    """
+    sources = []
+    sales, stock = _sales_values(wanted), _snapshot_values(wanted)
+    window = "sales_qty_last_90_days"
+    if window in wanted:
+        if sales and not ctx.by_month and not ctx.where.has_dates:
+            day, end = F.col("sales_date"), ctx.window_end()
+            inside = (day > F.date_sub(end, DEAD_STOCK_WINDOW_DAYS)) & (day <= end)
+            sales[window] = F.when(inside, F.col("sales_quantity"))
+        else:
+            sources.append((ctx.window_sales(), {window: F.col("sales_quantity")}))
+    if sales:
+        sources.append((ctx.sales(), sales))
+    if stock:
+        sources.append((ctx.snapshot(), stock))
+    return sources
+
+
 def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFrame:
     """Average and deviation of the daily quantity, safety stock and reorder point.
 
@@ -325,7 +359,7 @@ def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFr
     over its days in the first shuffle and reduced to one row per task in the second.
     """
     keys = ctx.keys(*extra)
-    per_day = ctx.group(ctx.sales(), {"x": F.sum("sales_quantity")}, *extra, "sales_date")
+    per_day = ctx.sums([(ctx.sales(), {"x": F.col("sales_quantity")})], *extra, "sales_date")
     x = F.col("x")
     per_key = per_day.groupBy(*keys).agg(
         F.sum("x").cast("double").alias("sx"),
@@ -333,19 +367,19 @@ def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFr
         F.count("x").alias("n"),
         F.count("sales_date").alias("active_days"),
     )
-    days = ctx.calendar_days()
-    # one row per calendar month at most, so this is never a product of two large sides
-    joined = per_key.join(days, MONTH) if ctx.by_month else per_key.crossJoin(days)
+    if ctx.by_month:
+        per_key = per_key.join(ctx.calendar_days(), MONTH)
+        calendar_days = F.col("calendar_days")
+    else:
+        calendar_days = ctx.calendar_days().scalar()
     sx, sxx, n = F.col("sx"), F.col("sxx"), F.col("n").cast("double")
-    spread_over = (
-        F.col("calendar_days").cast("double") if params.deviation == "as_written" else n
-    )
+    spread_over = calendar_days.cast("double") if params.deviation == "as_written" else n
     mean = F.try_divide(sx, n)
     variance = F.try_divide(sxx - F.lit(2.0) * mean * sx + spread_over * mean * mean, spread_over)
     average = safe_divide(sx, F.col("active_days"))
     deviation = F.sqrt(F.greatest(variance, F.lit(0.0)))
     safety = F.lit(params.z) * deviation * F.sqrt(F.lit(float(params.lead_time_days)))
-    return joined.select(
+    return per_key.select(
         *keys,
         average.alias("avg_daily_sales_qty"),
         deviation.alias("stddev_daily_sales_qty"),
@@ -363,7 +397,7 @@ def lowest_store_stock(ctx: Context, *extra: str) -> DataFrame:
     lowest stock, and no store has to be visited one by one.
     """
     on_hand = F.when(F.col("snapshot_type") == ENDING, F.col("quantity_on_hand"))
-    per_store = ctx.group(ctx.snapshot(), {"stock": F.sum(on_hand)}, *extra, STORE)
+    per_store = ctx.sums([(ctx.snapshot(), {"stock": on_hand})], *extra, STORE)
     return per_store.groupBy(*ctx.keys(*extra)).agg(
         F.min("stock").alias("lowest_stock"), (F.count(F.lit(1)) > 0).alias("has_snapshot")
     )
@@ -411,30 +445,19 @@ def _base(ctx: Context, wanted: set[str]) -> list[DataFrame]:
             "current_stock_qty",
             "ending_inventory_value",
         }
-    extra = [PRODUCT] if over_products else []
-    parts = []
-    if sums := _sales_sums(needed):
-        parts.append(ctx.group(ctx.sales(), sums, *extra))
-    if sums := _snapshot_sums(needed):
-        parts.append(ctx.group(ctx.snapshot(), sums, *extra))
-    if "sales_qty_last_90_days" in needed:
-        window = {"sales_qty_last_90_days": F.sum("sales_quantity")}
-        parts.append(ctx.group(ctx.window_sales(), window, *extra))
+    sources = _sources(ctx, needed)
+    if not sources:
+        return []
     if not over_products:
-        return parts
-    keys = ctx.keys(PRODUCT)
-    per_product = stack(parts, keys)
+        return [ctx.sums(sources)]
+    per_product = ctx.sums(sources, PRODUCT)
     if over_products & {"unclassified_dead_stock_value", "unclassified_inventory_value"}:
         flags = ctx.products.select(PRODUCT, (F.col(CLASS) == UNCLASSIFIED).alias("is_unclassified"))
         per_product = per_product.join(flags, PRODUCT, "left")
     aggregates = {
         n: c for n, c in _dead_stock(ctx, per_product).items() if n in over_products
     }
-    kept = [n for n in SUMS if n in needed]
-    if PRODUCT in ctx.grain:
-        aggregates |= {n: F.max(n) for n in kept}
-    else:
-        aggregates |= {n: F.sum(n) for n in kept}
+    aggregates |= {n: F.sum(n) for n in SUMS if n in needed}
     return [
         per_product.groupBy(*ctx.grain).agg(*[c.alias(n) for n, c in aggregates.items()])
     ]
@@ -451,13 +474,15 @@ def _reorder_sku_count(ctx: Context, params: Replenishment) -> DataFrame:
 def _with_unclassified_count(ctx: Context, rows: DataFrame) -> DataFrame:
     """Store and date do not reach the product list, so they repeat its count."""
     keys = [k for k in ctx.grain if k in (PRODUCT, CLASS)]
+    name = "unclassified_sku_count"
     counts = ctx.picked_products().groupBy(*keys).agg(
-        F.count_if(F.col(CLASS) == UNCLASSIFIED).alias("unclassified_sku_count")
+        F.count_if(F.col(CLASS) == UNCLASSIFIED).alias(name)
     )
+    if not keys:
+        return rows.withColumn(name, counts.scalar())
     if keys == ctx.grain:
         return stack([rows, counts], keys)
-    # without keys there is a single count, joined as one row
-    return rows.join(counts, keys, "left") if keys else rows.crossJoin(counts)
+    return rows.join(counts, keys, "left")
 
 
 def _derived(wanted: set[str]) -> list[tuple[str, Column]]:
@@ -532,11 +557,13 @@ def evaluate(
     wanted = _closure(names)
     if wanted == {"unclassified_sku_count"}:
         wanted.add("total_revenue")  # some fact has to say which rows exist
+    if wanted & set(ALERT) and STORE in grain:
+        wanted |= {"current_stock_qty", "total_snapshot_records"}  # its own lowest stock
     ctx = Context(warehouse, grain, where)
     parts = _base(ctx, wanted)
     if wanted & set(DAILY):
         parts.append(daily_statistics(ctx, params))
-    if wanted & set(ALERT):
+    if wanted & set(ALERT) and STORE not in grain:
         parts.append(lowest_store_stock(ctx))
     if "reorder_sku_count" in wanted:
         parts.append(_reorder_sku_count(ctx, params))
@@ -544,6 +571,11 @@ def evaluate(
     if "unclassified_sku_count" in wanted:
         rows = _with_unclassified_count(ctx, rows)
     if wanted & set(ALERT):
+        if STORE in grain:
+            has_any = F.col("total_snapshot_records") > 0
+            rows = rows.withColumns(
+                {"lowest_stock": F.col("current_stock_qty"), "has_snapshot": has_any}
+            )
         rows = rows.withColumn("alert_code", _alert())
     for name, column in _derived(wanted):
         rows = rows.withColumn(name, column)
@@ -562,8 +594,7 @@ def turnover_ytd(warehouse: Warehouse, where: Slice = Slice()) -> DataFrame:
     months = ctx.calendar().select(MONTH).distinct()
     parts = [
         months,
-        ctx.group(ctx.sales(), _sales_sums(wanted)),
-        ctx.group(ctx.snapshot(), _snapshot_sums(wanted)),
+        ctx.sums(_sources(ctx, wanted)),
     ]
     to_date = (
         Window.partitionBy(F.substring(MONTH, 1, 4))
