@@ -1,32 +1,41 @@
 """Row numbers and running totals over a whole table without a single-task sort.
 
-The table is range-partitioned by the order and written once, with the number of the
-range on each row. Totals per range give each range its offset; the rest is a window
-inside the range. Every step is spread over the ranges, and the written copy keeps
-retried tasks from seeing other range bounds.
+The table is written once and counted on the way, then cut into ranges of the order with
+about ``ROWS_PER_RANGE`` rows each, and written again with the number of the range on each
+row. Totals per range give each range its offset; the rest is a window inside the range.
+So the number of tasks grows with the table while the rows per task do not, and the written
+copies keep retried tasks from seeing other range bounds. A table that fits one range
+is sorted by one task as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import cut_lineage
 
+ROWS_PER_RANGE = 1_000_000
 _RANGE = "_range"
 
 
-def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(ranges, *order).withColumn(_RANGE, F.spark_partition_id())
+def _in_ranges(df: DataFrame, order: list[Column], rows_per_range: int) -> DataFrame:
+    seen = Observation()
+    copy = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")), "counted")
+    ranges = math.ceil(seen.get["rows"] / rows_per_range)
+    if ranges <= 1:
+        return copy.withColumn(_RANGE, F.lit(0))
+    ranged = copy.repartitionByRange(ranges, *order).withColumn(_RANGE, F.spark_partition_id())
     return cut_lineage(ranged, "ranges")
 
 
 def _with_offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Adds ``<name>_before`` and ``<name>_overall`` for each total.
 
-    The unpartitioned windows and the broadcast see one row per range, i.e. at most
-    ``spark.sql.shuffle.partitions`` rows, whatever the table holds.
+    The unpartitioned windows and the broadcast see one row per range, i.e. a
+    ``ROWS_PER_RANGE``-th of the table.
     """
     per_range = ranged.groupBy(_RANGE).agg(*[c.alias(n) for n, c in totals.items()])
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -40,10 +49,15 @@ def _with_offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[Column], name: str, total_name: str | None = None
+    df: DataFrame,
+    order: list[Column],
+    name: str,
+    total_name: str | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``name`` = 1..n in ``order``, which must be unique; ``total_name`` = n."""
-    placed = _with_offsets(_in_ranges(df, order), {"n": F.count(F.lit(1))})
+    ranged = _in_ranges(df, order, rows_per_range)
+    placed = _with_offsets(ranged, {"n": F.count(F.lit(1))})
     local = F.row_number().over(Window.partitionBy(_RANGE).orderBy(*order))
     columns = [(F.coalesce(F.col("n_before"), F.lit(0)) + local).cast("bigint").alias(name)]
     if total_name:
@@ -52,10 +66,15 @@ def number_rows(
 
 
 def running_total(
-    df: DataFrame, order: list[Column], value: str, total: str, grand_total: str
+    df: DataFrame,
+    order: list[Column],
+    value: str,
+    total: str,
+    grand_total: str,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` (unique) and its grand total."""
-    placed = _with_offsets(_in_ranges(df, order), {"v": F.sum(value)})
+    placed = _with_offsets(_in_ranges(df, order, rows_per_range), {"v": F.sum(value)})
     within = (
         Window.partitionBy(_RANGE)
         .orderBy(*order)

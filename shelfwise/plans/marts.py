@@ -16,12 +16,16 @@ NAME_WIDTH = 9
 
 
 def _latest_name_per_key(tables: list[DataFrame], key: str, name: str) -> DataFrame:
-    """The greatest name per key over all tables: one shuffle, combined before it."""
+    """The greatest name per key over all tables.
+
+    Duplicates go first, by hash and before the shuffle: the maximum of a text sorts its
+    input, which then is a few rows per key instead of every row of the facts.
+    """
     rows = reduce(
         DataFrame.unionByName,
         [t.select(F.col(key), F.col(name)).filter(F.col(key).isNotNull()) for t in tables],
     )
-    return rows.groupBy(key).agg(F.max(name).alias(name))
+    return rows.distinct().groupBy(key).agg(F.max(name).alias(name))
 
 
 def dim_vendor(
@@ -42,12 +46,18 @@ def dim_store(beginning: DataFrame, ending: DataFrame, sales: DataFrame) -> Data
 
 
 def product_base(prices: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row per brand of the price list or of the sales, without a class yet.
+    """One row per brand of the price list or of the sales, without a class yet."""
+    products = product_rows(prices, sales)
+    return number_rows(products, [F.asc_nulls_last("brand")], "product_sk")
+
+
+def product_rows(prices: DataFrame, sales: DataFrame) -> DataFrame:
+    """Products without their key.
 
     Means the same as a full outer join of the price list with sales per brand, the
     price list's attributes coming first: a brand's sales fill in when it has no
-    listed row, or a listed row lacks the attribute. As one union and one
-    aggregation it needs one shuffle instead of three and combines before it.
+    listed row, or a listed row lacks the attribute. Sales are reduced to their
+    distinct descriptions by hash, then both sides are grouped together once.
     """
     shared = ["description", "size", "volume_ml", "classification"]
     priced_only = ["retail_price", "purchase_price", "gross_margin_pct"]
@@ -57,8 +67,11 @@ def product_base(prices: DataFrame, sales: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"p_{c}") for c in shared],
         *priced_only,
     )
-    sold = sales.filter(F.col("brand").isNotNull()).select(
-        "brand", F.lit(False).alias("listed"), *[F.col(c).alias(f"s_{c}") for c in shared]
+    sold = (
+        sales.filter(F.col("brand").isNotNull())
+        .select("brand", *[F.col(c).alias(f"s_{c}") for c in shared])
+        .distinct()
+        .withColumn("listed", F.lit(False))
     )
 
     def merged(c: str) -> Column:
@@ -67,7 +80,7 @@ def product_base(prices: DataFrame, sales: DataFrame) -> DataFrame:
         fill = F.when(~F.bool_or("listed") | gap, from_sales)
         return F.greatest(from_list, fill).alias(c)
 
-    products = (
+    return (
         listed.unionByName(sold, allowMissingColumns=True)
         .groupBy("brand")
         .agg(
@@ -77,7 +90,6 @@ def product_base(prices: DataFrame, sales: DataFrame) -> DataFrame:
             F.max("gross_margin_pct").alias("default_gross_margin_pct"),
         )
     )
-    return number_rows(products, [F.asc_nulls_last("brand")], "product_sk")
 
 
 def fact_sales(

@@ -32,11 +32,13 @@ class Warehouse:
         raw: dict[str, Callable[["Warehouse"], DataFrame]],
         period: Period,
         folder: str,
+        raw_is_stored: bool = False,
     ):
         self.spark = spark
         self.settings = Settings(period)
         self.folder = folder
         self._raw = raw
+        self._raw_is_stored = raw_is_stored
         self._stored: dict[str, DataFrame] = {}
 
     @classmethod
@@ -63,8 +65,9 @@ class Warehouse:
     def over_raw(
         cls, spark: SparkSession, raw: dict[str, DataFrame], period: Period, folder: str
     ) -> "Warehouse":
-        """The warehouse over raw tables that are loaded already, e.g. from CSV."""
-        return cls(spark, {n: (lambda w, df=df: df) for n, df in raw.items()}, period, folder)
+        """The warehouse over raw tables that are stored already, e.g. loaded from CSV."""
+        given = {n: (lambda w, df=df: df) for n, df in raw.items()}
+        return cls(spark, given, period, folder, raw_is_stored=True)
 
     def raw_tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in RAW_TABLES}
@@ -75,6 +78,8 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         if name not in self._stored:
             df = self.build(name)
+            if name in RAW_TABLES and self._raw_is_stored:
+                return self._stored.setdefault(name, df)
             layer = "raw" if name in RAW_TABLES else "staging" if name in staging.STAGED else "marts"
             if layer == "staging":
                 df = staging.stamped(df)

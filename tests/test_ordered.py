@@ -17,19 +17,23 @@ def revenue(spark):
     )
 
 
-def test_row_numbers_equal_a_single_window(revenue):
+@pytest.mark.parametrize("rows_per_range", [7, 60, 1000])
+def test_row_numbers_equal_a_single_window(revenue, rows_per_range):
     order = [F.desc("total_sales_dollars"), F.asc("product_sk")]
     got = {
-        r.product_sk: (r.n, r.total) for r in number_rows(revenue, order, "n", "total").collect()
+        r.product_sk: (r.n, r.total) for r in number_rows(revenue, order, "n", "total", rows_per_range).collect()
     }
     one = revenue.withColumn("n", F.row_number().over(Window.orderBy(*order)))
     size = revenue.count()
     assert got == {r.product_sk: (r.n, size) for r in one.collect()}
 
 
-def test_running_total_equals_a_single_window(revenue):
+@pytest.mark.parametrize("rows_per_range", [7, 60, 1000])
+def test_running_total_equals_a_single_window(revenue, rows_per_range):
     order = [F.desc("total_sales_dollars"), F.asc("product_sk")]
-    got = running_total(revenue, order, "total_sales_dollars", "running", "whole").collect()
+    got = running_total(
+        revenue, order, "total_sales_dollars", "running", "whole", rows_per_range
+    ).collect()
     frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     one = revenue.withColumn("running", F.sum("total_sales_dollars").over(frame)).collect()
     assert {r.product_sk: r.running for r in got} == {r.product_sk: r.running for r in one}
@@ -38,8 +42,17 @@ def test_running_total_equals_a_single_window(revenue):
 
 def test_one_value_in_all_rows_is_spread_by_the_tie_break(spark):
     df = spark.range(1000).selectExpr("id AS product_sk", "CAST(5 AS DECIMAL(12,2)) AS v")
-    got = number_rows(df, [F.desc("v"), F.asc("product_sk")], "n").collect()
-    assert {r.product_sk: r.n for r in got} == {i: i + 1 for i in range(1000)}
+    numbered = number_rows(
+        df, [F.desc("v"), F.asc("product_sk")], "n", rows_per_range=100
+    )
+    assert {r.product_sk: r.n for r in numbered.collect()} == {i: i + 1 for i in range(1000)}
+
+
+def test_ranges_are_worked_on_apart(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    numbered = number_rows(df, [F.asc("k")], "n", rows_per_range=100)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan
 
 
 def _classes(spark, values):

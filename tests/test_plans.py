@@ -5,6 +5,7 @@ import re
 import pytest
 
 from shelfwise import catalog
+from shelfwise.plans import marts
 from shelfwise.plans.measures import Slice, evaluate
 from shelfwise.plans.warehouse import Warehouse
 from tests.conftest import SMALL
@@ -64,9 +65,10 @@ def test_no_python_and_no_cross_join_anywhere(spark, plan, queries):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
-def test_windows_are_partitioned(spark, plan, queries):
-    """The only windows over everything see one row per range or per class."""
-    for name in ("dim01_vendor", "dim03_product", "abc02_running_total"):
-        text = plan(queries[name](spark, SMALL))
-        windows = re.findall(r"Window \[.*?\], \[(.*?)\]", text)
-        assert any("_range" in w for w in windows), name
+def test_text_is_deduplicated_by_hash_before_its_maximum(spark, plan, queries):
+    """The maximum of a text sorts its input, so it must not see the fact's rows."""
+    w = Warehouse.over_feed(spark, SMALL)
+    rows = marts.product_rows(w.table("stg_purchase_prices"), w.table("stg_sales"))
+    text = plan(rows)
+    below_union = text[text.index("Union") :]
+    assert below_union.count("HashAggregate") == 2 and "Sort" not in below_union
