@@ -35,6 +35,8 @@ def read_extract(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        # an extract may be many files: one whose header differs fails, it is not misread
+        .option("enforceSchema", False)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')

@@ -49,6 +49,13 @@ def test_read_extract(spark, csv_file):
     ]
 
 
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Store,Brand\n1,2\n")
+    (tmp_path / "b.csv").write_text("Brand,Store\n2,1\n")
+    with pytest.raises(Exception):
+        read_extract(spark, str(tmp_path / "*.csv")).collect()
+
+
 def test_catalog_goes_on_after_a_missing_file(spark, csv_file, tmp_path):
     target = str(tmp_path / "raw")
     files = {"raw_a": csv_file, "raw_b": str(tmp_path / "missing.csv"), "raw_c": csv_file}
