@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import mixing
+from shelfwise.llm import mixing, sharding
 
 
 def queries():
-    return {"op9_mixing": mixing.op9_mixing}
+    return {"op4_sharding": sharding.op4_sharding, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql():
