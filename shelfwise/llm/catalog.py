@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import mixing, sharding
+from shelfwise.llm import language, mixing, sharding
 
 
 def queries():
-    return {"op4_sharding": sharding.op4_sharding, "op9_mixing": mixing.op9_mixing}
+    return {
+        "op4_sharding": sharding.op4_sharding,
+        "op7_language": language.op7_language,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql():
