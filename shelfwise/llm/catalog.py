@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import language, mixing, sharding
+from shelfwise.llm import bpe, language, mixing, sharding
 
 
 def queries():
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op4_sharding": sharding.op4_sharding,
         "op7_language": language.op7_language,
         "op9_mixing": mixing.op9_mixing,
