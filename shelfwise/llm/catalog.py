@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, language, mixing, sharding
+from shelfwise.llm import bpe, language, mixing, sharding, simhash
 
 
 def queries():
     return {
         "op2_bpe": bpe.op2_bpe,
         "op4_sharding": sharding.op4_sharding,
+        "op6_simhash": simhash.op6_simhash,
         "op7_language": language.op7_language,
         "op9_mixing": mixing.op9_mixing,
     }
