@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm.common import table
 
-WORDS_KEPT, PIECES_KEPT = 600_000, 400_000
+WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
 BATCH_CHARS = 1_000_000
 HEAP_FROM = 64
 WORD_END = "</w>"
@@ -255,15 +255,25 @@ class Encoder:
 _kept: dict[str, Encoder] = {}
 
 
+def _encoder_of(shared, path: str) -> Encoder:
+    """This worker's encoder; what it has learned stays between tasks."""
+    if path not in _kept:
+        _kept[path] = Encoder(shared.value)
+    return _kept[path]
+
+
+def decode(ids: bytes | None, names: np.ndarray) -> str:
+    """Token names joined by a blank, special tokens included; the file states no decoder."""
+    return " ".join(names[np.frombuffer(ids or b"", dtype="<u4")].tolist())
+
+
 def encoder(spark: SparkSession, path: str):
     """A column function: text to its ids as little-endian unsigned 32-bit integers."""
     shared = spark.sparkContext.broadcast(Vocabulary(path))
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if path not in _kept:
-            _kept[path] = Encoder(shared.value)
-        own = _kept[path]
+        own = _encoder_of(shared, path)
         for texts in batches:
             yield pd.Series(own.encode(["" if t is None else t for t in texts]), dtype=object)
 
@@ -271,29 +281,50 @@ def encoder(spark: SparkSession, path: str):
 
 
 def decoder(spark: SparkSession, path: str):
-    """A column function: ids to text, special tokens included, token names joined by a blank."""
+    """A column function: ids to text."""
     shared = spark.sparkContext.broadcast(Vocabulary(path).names)
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def to_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            names = (shared.value[np.frombuffer(b or b"", dtype="<u4")] for b in ids)
-            yield pd.Series([" ".join(n.tolist()) for n in names], dtype=object)
+            yield pd.Series([decode(b, shared.value) for b in ids], dtype=object)
+
+    return to_text
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """``key, ids, decoded`` of each row's ``text``: encoded, and the ids decoded again.
 
-    return decode
+    Both in one Python worker, and given back in small batches, so that memory stays bounded
+    however many rows a batch has.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _encoder_of(shared, path)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch["text"]]
+            at = 0
+            while at < len(texts):
+                to, chars = at, 0
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
+                    chars += len(texts[to])
+                    to += 1
+                ids = own.encode(texts[at:to])
+                decoded = [decode(b, own.vocabulary.names) for b in ids]
+                yield pd.DataFrame({"key": batch["key"].iloc[at:to].array, "ids": ids, "decoded": decoded})
+                at = to
 
-def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` (binary) and ``decoded``."""
-    spark = docs.sparkSession
-    docs = docs.withColumn("ids", encoder(spark, path)(F.col("text")))
-    return docs.withColumn("decoded", decoder(spark, path)(F.col("ids")))
+    # the key travels as text: a null among integers would turn pandas' column into floats
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).cast("string").alias("key"), "text")
+    out = rows.mapInPandas(run, "key string, ids binary, decoded string")
+    return out.select(F.col("key").cast(kind).alias(key), "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: id, number of tokens, and digests of the ids and of the decoded text."""
-    both = encoded_and_decoded(docs.select("doc_id", "text"), path)
-    return both.select(
+    return round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
