@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfwise.llm.common import table
+from shelfwise.llm.common import Remembered, table
 
 WORDS_KEPT, PIECES_KEPT = 400_000, 300_000
 BATCH_CHARS = 1_000_000
@@ -181,26 +181,6 @@ class Vocabulary:
         return out
 
 
-class Remembered:
-    """Two generations of a dictionary: what is used stays, the rest goes, size is bounded."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size // 2, {}, {}
-
-    def missing(self, keys) -> list[str]:
-        """The keys that are not known; the others are safe until the next call."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-        return out
-
-
 class Encoder:
     """Encodes texts, remembering the ids of words and of pieces between blanks."""
 

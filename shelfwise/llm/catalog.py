@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, language, mixing, sharding, simhash
+from shelfwise.llm import bpe, language, mixing, sharding, simhash, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_simhash": simhash.op6_simhash,
         "op7_language": language.op7_language,
         "op9_mixing": mixing.op9_mixing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,23 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def written(df: DataFrame, label: str) -> DataFrame:
     """A copy in the shared folder; a retried task rereads it instead of computing it anew."""
     return cut_lineage(df, f"llm-{label}")
+
+
+class Remembered:
+    """Two generations of a dictionary: what is used stays, the rest goes, size is bounded."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not known; the others are safe until the next call."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
