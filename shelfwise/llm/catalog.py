@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, language, mixing, sharding, simhash, toxicity
+from shelfwise.llm import bpe, language, mixing, quality, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op6_simhash": simhash.op6_simhash,
         "op7_language": language.op7_language,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op3_quality": quality.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
