@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, language, mixing, quality, sharding, simhash, toxicity
+from shelfwise.llm import bpe, fingerprints, language, mixing, quality, sharding, simhash, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_simhash": simhash.op6_simhash,
         "op7_language": language.op7_language,
         "op9_mixing": mixing.op9_mixing,

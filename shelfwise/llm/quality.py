@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import BLANKS, table, words, written
+from shelfwise.llm.common import BLANKS, let, table, words, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -26,11 +26,6 @@ WINDOW = 3
 SYMBOLS = "#*$%&|<>"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
     """Words of array ``w`` that lie in a window of words found twice or more in it."""
 
