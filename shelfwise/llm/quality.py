@@ -69,7 +69,9 @@ def _removed_words(docs: DataFrame, limit: int) -> DataFrame:
     """``host, text_hash, removed``: words in lines above the limit, per host and different text."""
     normal = F.translate(F.lower(F.btrim(F.col("line"), F.lit(BLANKS))), "123456789", "000000000")
     lines = (
-        docs.select("host", "text_hash", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        # outer: a plain explode would test the array first and so build it twice
+        docs.select("host", "text_hash", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
+        .where("line is not null")
         .select(
             "host",
             "text_hash",
@@ -98,7 +100,7 @@ def judge(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT) -> Dat
         "doc_id",
         F.col(host).alias("host"),
         "text",
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_hash"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_hash"),
     )
     text = F.coalesce("text", F.lit(""))
     worded = _lines(F.col("text"))
