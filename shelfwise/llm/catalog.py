@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, fingerprints, language, mixing, quality, sharding, simhash, toxicity
+from shelfwise.llm import bpe, fingerprints, language, lines, mixing, quality, sharding, simhash, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_simhash": simhash.op6_simhash,
         "op7_language": language.op7_language,
+        "op8_lines": lines.op8_lines,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
