@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, fingerprints, language, lines, mixing, quality, sharding, simhash, toxicity
+from shelfwise.llm import bpe, chat, fingerprints, language, lines, mixing, quality, sharding, simhash, toxicity
 
 
 def queries():
     return {
+        "op1_chat": chat.op1_chat,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_quality": quality.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op3_quality": quality.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
