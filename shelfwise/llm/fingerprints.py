@@ -22,6 +22,7 @@ from shelfwise.operators.ordered import number_rows
 SHINGLE = 5
 ONE_IN = 16
 AT_LEAST = 64
+ROWS_PER_RANGE = 20_000
 _LEAST_HASH, _MOST_HASH = -(1 << 63), (1 << 63) - 1
 _BOUND = _LEAST_HASH + (1 << 64) // ONE_IN - 1
 
@@ -103,7 +104,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     and the one before it in descending order of id, in a ring; nulls last."""
     rows = docs.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
-    ranked = written(number_rows(rows, order, "rank", "total"), "fingerprint-order")
+    ranked = written(number_rows(rows, order, "rank", "total", ROWS_PER_RANGE), "fingerprint-order")
     before = ranked.select(
         F.col("key").alias("before_key"),
         F.floor(F.col("n_chars") / 2).cast("int").alias("before_half"),
