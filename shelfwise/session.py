@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
+_cuts: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,5 +55,21 @@ def write_and_read(df: DataFrame, path: str, partition_by: str | None = None) ->
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """A one-off written copy of an intermediate result."""
-    return write_and_read(df, f"{shared_dir(df.sparkSession)}/cuts/{label}-{uuid.uuid4().hex[:12]}")
+    """A one-off written copy of an intermediate result; ``drop_cuts`` removes it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuts/{label}-{uuid.uuid4().hex[:12]}"
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return write_and_read(df, path)
+
+
+def drop_cuts(spark: SparkSession, prefix: str = "") -> None:
+    """Remove this application's written copies whose label begins with ``prefix``.
+
+    Only for when every result that was computed from them has been written.
+    """
+    paths = _cuts.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in paths if p.rpartition("/")[2].startswith(prefix)]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        paths.remove(path)
