@@ -224,6 +224,13 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, text: Column) -> Co
     return identifier(docs.sparkSession, train(sample_texts(labelled)))(text)
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, learned from their own labels."""
+    held_out = id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT
+    found = identify_languages(docs, docs.where(~held_out).select("lang", "text"), F.col("text"))
+    return docs.where(found["lang"] != UNDETERMINED)
+
+
 def op7_language(spark, sf_dir):
     """The language of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")

@@ -185,7 +185,8 @@ def _signed(mask: int) -> int:
 
 
 def with_components(rows: DataFrame) -> DataFrame:
-    """``rows`` (``doc_id, mark`` and others) with ``component_id``: the smallest id reachable."""
+    """``rows`` (``doc_id, mark`` and others) with ``root``, one value for each component, and
+    ``component_id``, the smallest id in it."""
     marks = rows.groupBy("mark").agg(F.min("doc_id").alias("least_id"))
     marks = written(marks, "simhash-marks")
     found = components(links_between(marks.select("mark")))
@@ -193,7 +194,20 @@ def with_components(rows: DataFrame) -> DataFrame:
         "mark", "least_id", F.coalesce("root", "mark").alias("root")
     )
     least = marks.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(marks.join(least, "root").select("mark", "component_id"), "mark")
+    return rows.join(marks.join(least, "root").select("mark", "root", "component_id"), "mark")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The document of smallest id (null first) of each component, other columns kept."""
+    names = docs.columns
+    own = docs.withColumn("_hash", F.xxhash64("text"))
+    marks = own.select("doc_id", "_hash", fingerprints(F.col("text")).alias("mark"))
+    groups = with_components(written(marks, "simhash-docs"))
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "_hash")).alias("at"))
+    first = first.select(F.col("at.doc_id").alias("f_id"), F.col("at._hash").alias("f_hash"))
+    met = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_hash") == F.col("f_hash"))
+    # repeated rows have one id and text: one of them stays
+    return own.join(first, met, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*names)
 
 
 def hex_mark(mark: Column) -> Column:
