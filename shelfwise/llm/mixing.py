@@ -168,25 +168,26 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: as many copies of a document as it is taken whole, and the
     words that are taken of the last one in part."""
     own = docs.withColumn("_hash", F.xxhash64("text"))
-    size = F.size(words(F.col("text")))
-    mix = weighted_mix(own.select("doc_id", "source", size.alias("size"), "_hash"))
+    mix = weighted_mix(
+        own.select("doc_id", "source", F.size(words(F.col("text"))).alias("size"), "_hash")
+    )
     taken = mix.groupBy("doc_id", "source", "_hash").agg(
         F.sum("taken").alias("taken"), F.max("size").alias("size")
     )
-    taken = taken.where("taken > 0").toDF("t_id", "t_source", "t_hash", "taken", "size")
+    taken = taken.where("taken > 0").toDF("_t_id", "_t_source", "_t_hash", "_taken", "_size")
     met = (
-        F.col("doc_id").eqNullSafe(F.col("t_id"))
-        & F.col("source").eqNullSafe(F.col("t_source"))
-        & (F.col("_hash") == F.col("t_hash"))
+        F.col("doc_id").eqNullSafe(F.col("_t_id"))
+        & F.col("source").eqNullSafe(F.col("_t_source"))
+        & (F.col("_hash") == F.col("_t_hash"))
     )
     # repeated rows have been added up
     own = own.dropDuplicates(["doc_id", "source", "_hash"]).join(taken, met)
-    whole, rest = F.expr("taken div size"), F.col("taken") % F.col("size")
-    copies = F.array_repeat(F.col("size"), whole.cast("int"))
-    copies = F.concat(copies, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    own = own.withColumn("_words", F.explode_outer(copies))
+    rest = F.col("_taken") % F.col("_size")
+    copies = F.array_repeat(F.col("_size"), F.expr("_taken div _size").cast("int"))
+    last = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
+    own = own.withColumn("_words", F.explode_outer(F.concat(copies, last)))
     part = F.array_join(F.slice(words(F.col("text")), 1, F.col("_words").cast("int")), " ")
-    changed = {"text": F.when(F.col("_words") < F.col("size"), part).otherwise(F.col("text"))}
+    changed = {"text": F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
     return own.withColumns(changed).select(*docs.columns)

@@ -6,7 +6,8 @@ left, so that differences cancel. Groups are blocked by hash, differenced block
 parallel, and each block leaves one partial partition. These are differenced in turn, level by
 level, until one remains: no task holds more than ``BLOCK`` partial partitions.
 
-Rows of a group stay together unless the group is larger than ``MAX_PART`` of a fair shard: then
+Rows of a group stay together unless the group is larger than ``MAX_PART`` of a fair shard, which
+also bounds how far apart the shards can end: then
 it is cut into pieces by the hash of the id. Null sizes count 0; null groups are one group;
 repeated rows are placed one by one (in the same piece). An empty table gives no rows.
 """
@@ -24,7 +25,7 @@ from shelfwise.llm.common import table, written
 
 SHARDS = 16
 BLOCK = 4096
-MAX_PART = 0.25
+MAX_PART = 1 / 64
 ROWS_PER_SLOT_RANGE = 50_000
 
 

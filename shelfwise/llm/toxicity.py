@@ -178,8 +178,12 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON_WORDS) -> frozenset[str]
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: Column, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with ``score``, learned from ``labels`` (``doc_id, toxic``) of these documents."""
+    """``docs`` with ``score``, learned from ``labels`` (``doc_id, toxic``) of these documents.
+
+    A column ``score`` that they have gives way to it.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("score")
     sample = training_sample(docs, labels, rows)
     present = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
     if not all(present.get((p, x)) for p in PARTS for x in (0.0, 1.0)):
