@@ -19,6 +19,9 @@ Job = Callable[[Warehouse], DataFrame]
 # The slicers shown by rpt16.
 SLICERS = Slice(years=(2001,), months=(8, 9), abc_classes=("A",))
 
+# Parameter: rows per range of the queries that show ordering in many ranges.
+RANGE_OF_ROWS = 500
+
 GRAINS = {
     "total": [],
     "month": [measures.MONTH],
@@ -70,24 +73,20 @@ STATUSES = {
 ROW_MARKS = ["total_sales_qty", "total_snapshot_records"]
 
 
-def _known_only(grain: str) -> bool:
-    return grain in ("product", "product_store")
-
-
 def _measure(grain: str, name: str) -> Job:
     def job(w: Warehouse) -> DataFrame:
-        rows = evaluate(w, GRAINS[grain], [name], known_only=_known_only(grain))
+        rows = evaluate(w, GRAINS[grain], [name])
         return rows.filter(F.col(name).isNotNull())
 
     return job
 
 
 def _status(name: str) -> Job:
-    return lambda w: evaluate(w, [PRODUCT, STORE], [*ROW_MARKS, name], known_only=True)
+    return lambda w: evaluate(w, [PRODUCT, STORE], [*ROW_MARKS, name])
 
 
 def _all_measures(grain: str) -> Job:
-    return lambda w: evaluate(w, GRAINS[grain], measures.ALL, known_only=_known_only(grain))
+    return lambda w: evaluate(w, GRAINS[grain], measures.ALL)
 
 
 def _quality_jobs() -> dict[str, Job]:
@@ -175,6 +174,13 @@ def _layer_jobs() -> dict[str, Job]:
         "fact02_inventory_snapshot": lambda w: w.build("fact_inventory_snapshot"),
         "abc01_product_revenue": lambda w: abc.product_revenue(w.table("fact_sales")),
         "abc02_running_total": lambda w: w.build("abc_running_total"),
+        # the same with many ranges, as large tables have them
+        "abc02_in_ranges": lambda w: abc.with_running_total(
+            abc.product_revenue(w.table("fact_sales")), rows_per_range=RANGE_OF_ROWS
+        ),
+        "dim03_in_ranges": lambda w: marts.product_base(
+            w.table("stg_purchase_prices"), w.table("stg_sales"), rows_per_range=RANGE_OF_ROWS
+        ),
         "abc03_labels": lambda w: abc.labels(w.table("abc_running_total")),
         "abc04_backfill": lambda w: w.build("dim_product"),
         "abc05_verify": lambda w: abc.class_summary(w.table("dim_product")),

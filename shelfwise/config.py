@@ -16,7 +16,6 @@ ABC_B_MAX_PCT = 95
 PRICE_TOLERANCE = "0.02"
 STOCKOUT_ALERT_RATE = 0.05
 DEAD_STOCK_ALERT_RATE = 0.03
-WEEKS_PER_YEAR = 52
 REORDER_WEEKS = 2
 REPORT_TOP_N = 20
 BEST_SELLERS_N = 10
@@ -31,7 +30,17 @@ class Period:
 
     @property
     def purchases_start(self) -> dt.date:
-        return self.start.replace(year=self.start.year - 1)
+        leap_day = (self.start.month, self.start.day) == (2, 29)
+        return self.start.replace(year=self.start.year - 1, day=28 if leap_day else self.start.day)
+
+    @property
+    def weeks(self) -> float:
+        return ((self.end - self.start).days + 1) / 7
+
+    @property
+    def last_quarter_start(self) -> dt.date:
+        """First day of the calendar quarter in which the period ends."""
+        return self.end.replace(month=(self.end.month - 1) // 3 * 3 + 1, day=1)
 
 
 @dataclass(frozen=True)

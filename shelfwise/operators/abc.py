@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import ABC_A_MAX_PCT, ABC_B_MAX_PCT
 from shelfwise.functions.casting import ratio
-from shelfwise.operators.ordered import running_total
+from shelfwise.operators.ordered import ROWS_PER_RANGE, running_total
 
 PCT_DIGITS = 4
 
@@ -33,11 +33,16 @@ def exact_pct(part: Column, whole: Column, digits: int = PCT_DIGITS) -> Column:
     return F.when(whole != 0, sign * scaled.cast("double") / F.lit(float(unit)))
 
 
-def with_running_total(revenue: DataFrame) -> DataFrame:
+def with_running_total(revenue: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Grand total, cumulative revenue and percent; ties in product order."""
     order = [F.desc_nulls_last("total_sales_dollars"), F.asc_nulls_last("product_sk")]
     summed = running_total(
-        revenue, order, "total_sales_dollars", "cumulative_sales", "grand_total"
+        revenue,
+        order,
+        "total_sales_dollars",
+        "cumulative_sales",
+        "grand_total",
+        rows_per_range,
     )
     return summed.withColumn(
         "cumulative_pct", exact_pct(F.col("cumulative_sales"), F.col("grand_total"))

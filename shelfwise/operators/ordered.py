@@ -24,9 +24,7 @@ _RANGE = "_range"
 def _in_ranges(df: DataFrame, order: list[Column], rows_per_range: int) -> DataFrame:
     seen = Observation()
     copy = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")), "counted")
-    ranges = math.ceil(seen.get["rows"] / rows_per_range)
-    if ranges <= 1:
-        return copy
+    ranges = max(1, math.ceil(seen.get["rows"] / rows_per_range))
     ranged = copy.repartitionByRange(ranges, *order).withColumn(_RANGE, F.spark_partition_id())
     return cut_lineage(ranged, "ranges")
 
@@ -34,16 +32,9 @@ def _in_ranges(df: DataFrame, order: list[Column], rows_per_range: int) -> DataF
 def _with_offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Adds ``<name>_before`` and ``<name>_overall`` for each total.
 
-    Of several ranges, the unpartitioned windows and the broadcast see one row each, i.e. a
+    The unpartitioned windows and the broadcast see one row per range, i.e. a
     ``ROWS_PER_RANGE``-th of the table.
     """
-    if _RANGE not in ranged.columns:
-        whole = Window.partitionBy(_RANGE)
-        return ranged.withColumn(_RANGE, F.lit(0)).select(
-            "*",
-            *[F.lit(0).alias(f"{n}_before") for n in totals],
-            *[c.over(whole).alias(f"{n}_overall") for n, c in totals.items()],
-        )
     per_range = ranged.groupBy(_RANGE).agg(*[c.alias(n) for n, c in totals.items()])
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     overall = Window.partitionBy()

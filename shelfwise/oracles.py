@@ -37,7 +37,7 @@ def _feed_ctes() -> dict[str, str]:
 SELECT {_columns(feed.SALES)}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
-JOIN supplier ON l_suppkey = s_suppkey WHERE {feed.SOLD}""",
+JOIN supplier ON l_suppkey = s_suppkey""",
         "raw_purchases": f"""
 SELECT {_columns(feed.PURCHASES)}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -47,14 +47,14 @@ JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
         "raw_purchase_prices": f"""
 SELECT {_columns(feed.PRICES)}
 FROM (SELECT part.*, p_partkey AS l_partkey, unnest(range(1, {feed.PACK_SIZES + 1})) AS l_linenumber
-      FROM part WHERE {feed.LISTED})
+      FROM part)
 LEFT JOIN (SELECT l_partkey AS k, CAST(l_linenumber AS BIGINT) AS n, MIN(l_suppkey) AS first_supplier
            FROM lineitem GROUP BY 1, 2) ON l_partkey = k AND l_linenumber = n
 LEFT JOIN supplier ON first_supplier = s_suppkey""",
         "raw_invoice_purchases": f"""
 SELECT {_columns(feed.INVOICES)}
-FROM raw_purchases
-WHERE vendor_number IN (SELECT CAST(s_suppkey AS STRING) FROM supplier WHERE {feed.INVOICED})
+FROM (SELECT * REPLACE ({feed.BILLED_AS} AS vendor_number)
+      FROM raw_purchases JOIN supplier ON vendor_number = CAST(s_suppkey AS STRING))
 GROUP BY vendor_number, po_number""",
     }
 
@@ -83,32 +83,42 @@ FROM (SELECT {_columns(columns)} FROM {source})"""
 
 
 MART_CTES = {
+    "vendor_names": " UNION ALL ".join(
+        f"SELECT vendor_number AS k, vendor_name AS v FROM stg_{t}"
+        for t in ("sales", "purchases", "purchase_prices", "invoice_purchases")
+    ),
     "dim_vendor": """
-SELECT ROW_NUMBER() OVER (ORDER BY vendor_number) AS vendor_sk, vendor_number, vendor_name
-FROM (SELECT vendor_number, MAX(vendor_name) AS vendor_name FROM (
-  SELECT vendor_number, vendor_name FROM stg_purchases UNION
-  SELECT vendor_number, vendor_name FROM stg_sales UNION
-  SELECT vendor_number, vendor_name FROM stg_invoice_purchases UNION
-  SELECT vendor_number, vendor_name FROM stg_purchase_prices)
-  WHERE vendor_number IS NOT NULL GROUP BY vendor_number)""",
+SELECT DENSE_RANK() OVER (ORDER BY k) AS vendor_sk, k AS vendor_number,
+  (SELECT MAX(n.v) FROM vendor_names n WHERE n.k = d.k) AS vendor_name
+FROM (SELECT DISTINCT k FROM vendor_names WHERE k IS NOT NULL) d""",
+    "store_cities": """
+SELECT store AS k, city AS v FROM stg_end_inventory UNION ALL
+SELECT store, city FROM stg_beg_inventory UNION ALL SELECT store, NULL FROM stg_sales""",
     "dim_store": """
-SELECT ROW_NUMBER() OVER (ORDER BY store) AS store_sk, store AS store_number, city
-FROM (SELECT store, MAX(city) AS city FROM (
-  SELECT store, city FROM stg_beg_inventory UNION SELECT store, city FROM stg_end_inventory
-  UNION SELECT store, NULL FROM stg_sales) WHERE store IS NOT NULL GROUP BY store)""",
+SELECT DENSE_RANK() OVER (ORDER BY k) AS store_sk, k AS store_number,
+  (SELECT MAX(n.v) FROM store_cities n WHERE n.k = d.k) AS city
+FROM (SELECT DISTINCT k FROM store_cities WHERE k IS NOT NULL) d""",
+    "listed_products": """
+SELECT brand, COUNT(*) AS n, COUNT(description) AS has_description, COUNT(size) AS has_size,
+  COUNT(volume_ml) AS has_volume, COUNT(classification) AS has_class, MAX(description) AS description,
+  MAX(size) AS size, MAX(volume_ml) AS volume_ml, MAX(classification) AS classification,
+  MAX(retail_price) AS retail, MAX(purchase_price) AS cost, MAX(gross_margin_pct) AS margin
+FROM stg_purchase_prices GROUP BY brand""",
+    "sold_products": """
+SELECT brand, MAX(description) AS description, MAX(size) AS size, MAX(volume_ml) AS volume_ml,
+  MAX(classification) AS classification FROM stg_sales GROUP BY brand HAVING brand IS NOT NULL""",
+    "all_brands": "SELECT brand FROM listed_products UNION SELECT brand FROM sold_products",
     "product_base": """
-SELECT ROW_NUMBER() OVER (ORDER BY brand NULLS LAST) AS product_sk, * FROM (
-  SELECT COALESCE(p.brand, s.brand) AS brand,
-    MAX(COALESCE(p.description, s.description)) AS description, MAX(COALESCE(p.size, s.size)) AS size,
-    MAX(COALESCE(p.volume_ml, s.volume_ml)) AS volume_ml,
-    MAX(COALESCE(p.classification, s.classification)) AS classification,
-    MAX(p.retail_price) AS default_retail_price, MAX(p.purchase_price) AS default_cost_price,
-    MAX(p.gross_margin_pct) AS default_gross_margin_pct
-  FROM stg_purchase_prices p FULL OUTER JOIN (
-    SELECT brand, MAX(description) AS description, MAX(size) AS size, MAX(volume_ml) AS volume_ml,
-      MAX(classification) AS classification
-    FROM stg_sales WHERE brand IS NOT NULL GROUP BY brand) s ON p.brand = s.brand
-  GROUP BY COALESCE(p.brand, s.brand))""",
+SELECT ROW_NUMBER() OVER (ORDER BY b.brand NULLS LAST) AS product_sk, b.brand,
+  GREATEST(l.description, CASE WHEN COALESCE(l.has_description < l.n, TRUE) THEN s.description END)
+    AS description,
+  GREATEST(l.size, CASE WHEN COALESCE(l.has_size < l.n, TRUE) THEN s.size END) AS size,
+  GREATEST(l.volume_ml, CASE WHEN COALESCE(l.has_volume < l.n, TRUE) THEN s.volume_ml END) AS volume_ml,
+  GREATEST(l.classification, CASE WHEN COALESCE(l.has_class < l.n, TRUE) THEN s.classification END)
+    AS classification,
+  l.retail AS default_retail_price, l.cost AS default_cost_price, l.margin AS default_gross_margin_pct
+FROM all_brands b LEFT JOIN listed_products l ON b.brand IS NOT DISTINCT FROM l.brand
+LEFT JOIN sold_products s ON b.brand = s.brand""",
     "fact_sales": """
 SELECT p.product_sk, d.store_sk, v.vendor_sk, s.inventory_id, s.sales_date, s.sales_quantity,
   s.sales_price, s.sales_dollars, s.excise_tax,
@@ -385,6 +395,7 @@ FROM abc_revenue""",
 SELECT product_sk, CAST(total_sales_dollars AS DECIMAL(22,2)) AS total_sales_dollars,
   CAST(grand_total AS DECIMAL(32,2)) AS grand_total,
   CAST(cumulative_sales AS DECIMAL(32,2)) AS cumulative_sales, cumulative_pct FROM abc_running""",
+        "dim03_in_ranges": "SELECT * FROM product_base",
         "abc03_labels": "SELECT * FROM abc_labels",
         "abc04_backfill": "SELECT * FROM dim_product",
         "abc05_verify": """
@@ -437,12 +448,17 @@ SELECT p.brand, p.description, p.abc_class,
 FROM fact_sales f JOIN dim_product p ON f.product_sk = p.product_sk WHERE p.abc_class = 'A'
 GROUP BY 1, 2, 3 ORDER BY total_revenue DESC, brand LIMIT 10""",
     }
+    q["abc02_in_ranges"] = q["abc02_running_total"]
     return {k: with_ctes(v) for k, v in q.items()}
 
 
 # -- measures -------------------------------------------------------------------------
 
 _CLASS_OF = "CASE WHEN p.product_sk IS NOT NULL THEN COALESCE(p.abc_class, 'Unclassified') END"
+_GROUP_OF = (
+    "CASE WHEN p.product_sk IS NOT NULL THEN CASE p.abc_class WHEN 'A' THEN 'A - Critical' "
+    "WHEN 'B' THEN 'B - Important' WHEN 'C' THEN 'C - Long Tail' ELSE 'Review - Unclassified' END END"
+)
 # grain -> key -> (expression on sales, expression on snapshots)
 _MONTH_OF_STOCK = (
     "CASE WHEN f.snapshot_date IN (SELECT date_key FROM dim_date) "
@@ -471,7 +487,9 @@ FROM (SELECT {g} CAST(SUM(x) AS DOUBLE) AS sx, CAST(SUM(x * x) AS DOUBLE) AS sxx
       FROM {name} {group}) {join}""".replace("{name}", name)
 
 
-def measure_ctes(grain: str, where_sales: str = "TRUE", where_stock: str = "TRUE") -> dict[str, str]:
+def measure_ctes(
+    grain: str, where_sales: str = "TRUE", where_stock: str = "TRUE", where_window: str = "TRUE"
+) -> dict[str, str]:
     keys = GRAINS[grain]
     names = list(keys)
     by_month = grain == "month"
@@ -493,14 +511,14 @@ def measure_ctes(grain: str, where_sales: str = "TRUE", where_stock: str = "TRUE
         return "" if extra in names else f"{extra}, "
 
     days_join = "JOIN ctx USING (year_month)" if by_month else ", ctx"
-    known = "f.product_sk IS NOT NULL" if "product_sk" in names else "TRUE"
     prod = select("product_sk")
     alert = (
         "CASE WHEN r.rop IS NULL OR s.stock IS NULL THEN 4 WHEN s.stock <= 0 THEN 1 "
         "WHEN s.stock <= r.rop THEN 2 WHEN CAST(s.stock AS DOUBLE) <= r.rop * 1.2::DOUBLE THEN 3 "
         "ELSE 4 END"
     )
-    rop = "ROUND(avg_daily * 7.0::DOUBLE + 1.65::DOUBLE * dev * sqrt(7.0::DOUBLE), 0) AS rop"
+    # adding 0 makes a negative zero a plain one
+    rop = "ROUND(avg_daily * 7.0::DOUBLE + 1.65::DOUBLE * dev * sqrt(7.0::DOUBLE), 0) + 0.0::DOUBLE AS rop"
     uncl = "p.product_sk IS NOT NULL AND p.abc_class IS NULL"
     product_keys = [k for k in names if k in ("product_sk", "abc_class_display")]
     uncl_lead = "".join(
@@ -530,24 +548,24 @@ def measure_ctes(grain: str, where_sales: str = "TRUE", where_stock: str = "TRUE
 SELECT {sales_keys}{'' if 'product_sk' in names else 'f.product_sk, '}f.sales_date,
   f.sales_quantity AS q, f.sales_dollars AS v, f.estimated_cogs AS c
 FROM fact_sales f LEFT JOIN dim_product p ON f.product_sk = p.product_sk
-WHERE {known} AND {where_sales}""",
+WHERE {where_sales}""",
         "irow": f"""
 SELECT {stock_keys}{'' if 'product_sk' in names else 'f.product_sk, '}
   {'' if 'store_sk' in names else 'f.store_sk, '}f.snapshot_type AS t,
   f.quantity_on_hand AS q, f.total_inventory_value AS v, ({uncl}) AS uncl
 FROM fact_inventory_snapshot f LEFT JOIN dim_product p ON f.product_sk = p.product_sk
-WHERE {known} AND {where_stock}""",
+WHERE {where_stock}""",
         "wrow": f"""
 SELECT {'ctx.year_month, ' if by_month else ''}{other_keys}
   {'' if 'product_sk' in names else 'f.product_sk, '}f.sales_quantity AS q
 FROM fact_sales f LEFT JOIN dim_product p ON f.product_sk = p.product_sk
 JOIN ctx ON f.sales_date > ctx.last_day - INTERVAL 90 DAY AND f.sales_date <= ctx.last_day
-WHERE {known}""",
+WHERE {where_window}""",
         "sal": f"SELECT {lead} SUM(v) AS rev, SUM(q) AS qty, SUM(c) AS cogs FROM srow {group()}",
         "inv": f"""
 SELECT {lead} SUM(v) FILTER (WHERE t = 'BEGINNING') AS beg, SUM(v) FILTER (WHERE t = 'ENDING') AS fin,
   SUM(q) FILTER (WHERE t = 'ENDING') AS stock, COUNT(*) AS recs,
-  COUNT(*) FILTER (WHERE q <= 0) AS oos,
+  NULLIF(COUNT(*) FILTER (WHERE q <= 0), 0) AS oos,
   NULLIF(COUNT(*) FILTER (WHERE t = 'BEGINNING'), 0) AS begrows,
   NULLIF(COUNT(*) FILTER (WHERE t = 'ENDING'), 0) AS finrows,
   NULLIF(COUNT(*) FILTER (WHERE t = 'ENDING' AND q <= 0), 0) AS finoos,
@@ -633,8 +651,8 @@ SELECT {lead}
   ROUND(avg_inv, 4) AS average_inventory_value,
   ROUND(CAST(cogs AS DOUBLE) / NULLIF(avg_inv, 0), 4) AS inventory_turnover,
   ROUND(365.0::DOUBLE / NULLIF(CAST(cogs AS DOUBLE) / NULLIF(avg_inv, 0), 0), 4) AS dsi_days,
-  ROUND(CAST(COALESCE(finoos, 0) AS DOUBLE) / finrows, 4) AS stockout_rate,
-  ROUND(CAST(COALESCE(finoos, 0) AS DOUBLE) / finrows, 4) AS stockout_rate_carried,
+  ROUND(CAST(finoos AS DOUBLE) / finrows, 4) AS stockout_rate,
+  ROUND(CAST(finoos AS DOUBLE) / finrows, 4) AS stockout_rate_carried,
   ROUND(CAST(deadval AS DOUBLE) / NULLIF(CAST(fin AS DOUBLE), 0), 4) AS dead_stock_pct,
   ROUND(CAST(stock AS DOUBLE) / NULLIF(avg_daily, 0), 4) AS days_of_stock_remaining,
   CASE WHEN stock IS NOT NULL OR rop IS NOT NULL
@@ -682,17 +700,13 @@ FROM (SELECT c.ym AS year_month,
 def report_sql() -> dict[str, str]:
     store = "(SELECT m.*, d.store_number FROM m LEFT JOIN dim_store d ON m.store_sk = d.store_sk)"
     pair = (
-        "(SELECT m.*, d.store_number, p.brand, COALESCE(p.abc_class, 'Unclassified') AS cls, "
-        "CASE p.abc_class WHEN 'A' THEN 'A - Critical' WHEN 'B' THEN 'B - Important' "
-        "WHEN 'C' THEN 'C - Long Tail' ELSE 'Review - Unclassified' END AS grp "
-        "FROM m JOIN dim_product p ON m.product_sk = p.product_sk "
+        f"(SELECT m.*, d.store_number, p.brand, {_CLASS_OF} AS cls, {_GROUP_OF} AS grp "
+        "FROM m LEFT JOIN dim_product p ON m.product_sk = p.product_sk "
         "LEFT JOIN dim_store d ON m.store_sk = d.store_sk)"
     )
     product = (
-        "(SELECT m.*, p.brand, p.abc_class, "
-        "CASE p.abc_class WHEN 'A' THEN 'A - Critical' WHEN 'B' THEN 'B - Important' "
-        "WHEN 'C' THEN 'C - Long Tail' ELSE 'Review - Unclassified' END AS grp "
-        "FROM m JOIN dim_product p ON m.product_sk = p.product_sk)"
+        f"(SELECT m.*, p.brand, p.abc_class, {_GROUP_OF} AS grp "
+        "FROM m LEFT JOIN dim_product p ON m.product_sk = p.product_sk)"
     )
     repl = (
         "current_stock_qty, avg_daily_sales_qty, safety_stock_qty, reorder_point_qty, "
@@ -762,9 +776,9 @@ JOIN dim_product p ON a.product_sk = p.product_sk WHERE a.code = 2""",
         ),
         "rpt14_replenish_matrix": with_ctes(
             f"""SELECT 'group' AS level, CASE abc_class_display WHEN 'A' THEN 'A - Critical'
-  WHEN 'B' THEN 'B - Important' WHEN 'C' THEN 'C - Long Tail' ELSE 'Review - Unclassified' END
-  AS abc_priority_group, CAST(NULL AS BIGINT) AS brand, CAST(NULL AS BIGINT) AS store_number, {repl}
-FROM class_m WHERE abc_class_display IS NOT NULL
+  WHEN 'B' THEN 'B - Important' WHEN 'C' THEN 'C - Long Tail'
+  WHEN 'Unclassified' THEN 'Review - Unclassified' END AS abc_priority_group, CAST(NULL AS BIGINT) AS brand, CAST(NULL AS BIGINT) AS store_number, {repl}
+FROM class_m WHERE total_sales_qty IS NOT NULL OR total_snapshot_records IS NOT NULL
 UNION ALL SELECT 'brand', grp, brand, NULL, {repl}
 FROM {product.replace('FROM m ', 'FROM product_m m ')}
 WHERE total_sales_qty IS NOT NULL OR total_snapshot_records IS NOT NULL
@@ -806,26 +820,28 @@ store_number, total_revenue FROM {store} WHERE total_revenue IS NOT NULL""",
         ),
         "rpt20_sku_week_run_rate": measures_sql(
             "product",
-            f"""SELECT brand, total_revenue, ROUND(CAST(total_revenue AS DOUBLE) / 52, 4)
-  AS revenue_per_week, ROUND(CAST(total_sales_qty AS DOUBLE) / 52, 4) AS qty_per_week,
-ROUND(CAST(total_sales_qty AS DOUBLE) / 52 * 2, 4) AS reorder_trigger_qty
+            f"""SELECT brand, total_revenue, ROUND(CAST(total_revenue AS DOUBLE) / {WEEKS}, 4)
+  AS revenue_per_week, ROUND(CAST(total_sales_qty AS DOUBLE) / {WEEKS}, 4) AS qty_per_week,
+ROUND(CAST(total_sales_qty AS DOUBLE) / {WEEKS} * 2, 4) AS reorder_trigger_qty
 FROM {product} WHERE total_revenue IS NOT NULL""",
         ),
         "rpt21_bottom_c_class": measures_sql(
             "product",
             f"""SELECT brand, total_revenue, r AS velocity_rank FROM (
 SELECT *, ROW_NUMBER() OVER (ORDER BY total_revenue, product_sk) AS r, COUNT(*) OVER () AS n
-FROM {product} WHERE abc_class = 'C' AND total_revenue IS NOT NULL)
-WHERE r * 5 <= n AND COALESCE(sales_qty_last_90_days, 0) = 0""",
+FROM {product} WHERE abc_class = 'C' AND total_revenue IS NOT NULL) c
+WHERE r * 5 <= n AND COALESCE((SELECT SUM(f.sales_quantity) FROM fact_sales f
+  WHERE f.product_sk = c.product_sk AND f.sales_date
+    BETWEEN date_trunc('quarter', DATE '{feed.PERIOD.end}') AND DATE '{feed.PERIOD.end}'), 0) = 0""",
         ),
         "rpt22_dead_stock_clearance": with_ctes(
-            """SELECT d.store_number, p.brand, COALESCE(p.abc_class, 'Unclassified') AS abc_class_display,
+            f"""SELECT d.store_number, p.brand, {_CLASS_OF} AS abc_class_display,
 CAST(e.end_qty AS DECIMAL(28,2)) AS dead_units,
 CAST(CASE WHEN p.abc_class = 'C' THEN 1 WHEN p.abc_class IS NULL THEN 2 ELSE 3 END AS INTEGER)
   AS clearance_step,
 CASE WHEN p.abc_class IN ('A', 'B') THEN o.n END AS selling_stores,
 CASE WHEN p.abc_class IN ('A', 'B') THEN o.best END AS transfer_to_store
-FROM end_inv e JOIN dim_product p ON e.product_sk = p.product_sk
+FROM end_inv e LEFT JOIN dim_product p ON e.product_sk = p.product_sk
 LEFT JOIN dim_store d ON e.store_sk = d.store_sk
 LEFT JOIN (SELECT product_sk, COUNT(*) AS n, FIRST(store_number ORDER BY qty DESC, store_number) AS best
   FROM (SELECT f.product_sk, s.store_number, SUM(f.sales_quantity) AS qty FROM fact_sales f
@@ -838,6 +854,9 @@ WHERE e.end_qty > 0 AND NOT EXISTS (SELECT 1 FROM sold_pairs s
     return q
 
 
+WEEKS = f"{((feed.PERIOD.end - feed.PERIOD.start).days + 1) / 7!r}::DOUBLE"
+
+
 def _nested(grain: str) -> dict[str, str]:
     """The measures of a grain as one CTE named ``<grain>_m``."""
     chain = ", ".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in measure_ctes(grain).items())
@@ -864,7 +883,7 @@ FROM (SELECT *, CASE WHEN beg IS NOT NULL OR fin IS NOT NULL
                 THEN COALESCE(p.abc_class, 'Unclassified') END, NULL, NULL,
                 CASE WHEN i.snapshot_type = 'BEGINNING' THEN i.total_inventory_value END,
                 CASE WHEN i.snapshot_type = 'ENDING' THEN i.total_inventory_value END,
-                CASE WHEN i.snapshot_type = 'ENDING' AND i.quantity_on_hand <= 0 THEN 1 ELSE 0 END,
+                CASE WHEN i.snapshot_type = 'ENDING' AND i.quantity_on_hand <= 0 THEN 1 END,
                 CASE WHEN i.snapshot_type = 'ENDING' THEN 1 ELSE 0 END
               FROM fact_inventory_snapshot i LEFT JOIN dim_product p ON i.product_sk = p.product_sk)
         GROUP BY ROLLUP (store_sk, cls))) g

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.labels import abc_display, abc_priority_group, abc_sort
-from shelfwise.operators.ordered import number_rows
+from shelfwise.operators.ordered import ROWS_PER_RANGE, number_rows
 
 # Snapshot types and the width names are padded to.
 BEGINNING, ENDING = "BEGINNING", "ENDING"
@@ -45,10 +45,16 @@ def dim_store(beginning: DataFrame, ending: DataFrame, sales: DataFrame) -> Data
     )
 
 
-def product_base(prices: DataFrame, sales: DataFrame) -> DataFrame:
+def product_base(
+    prices: DataFrame, sales: DataFrame, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """One row per brand of the price list or of the sales, without a class yet."""
-    products = product_rows(prices, sales)
-    return number_rows(products, [F.asc_nulls_last("brand")], "product_sk")
+    return number_rows(
+        product_rows(prices, sales),
+        [F.asc_nulls_last("brand")],
+        "product_sk",
+        rows_per_range=rows_per_range,
+    )
 
 
 def product_rows(prices: DataFrame, sales: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ sales only. The 90-day window ends on the last calendar day of the context.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -236,7 +236,8 @@ class Context:
     def window_sales(self) -> DataFrame:
         """Sales of the 90 days up to the end of each date context.
 
-        By month, each day is matched to the few months whose window covers it.
+        By month, the sales are first added up by day and what the measures need, then each day
+        is matched to the few months whose window covers it.
         """
         fact = self.all_sales()
         if not self.by_month:
@@ -258,7 +259,10 @@ class Context:
                 ).alias("sales_date"),
             )
         )
-        return fact.join(covered, "sales_date")
+        keys = [k for k in self.grain if k not in (MONTH, CLASS)]
+        keys = list(dict.fromkeys([*keys, PRODUCT, "sales_date"]))
+        per_day = fact.groupBy(*keys).agg(F.sum("sales_quantity").alias("sales_quantity"))
+        return per_day.join(covered, "sales_date")
 
     def snapshot(self) -> DataFrame:
         fact = self._sliced(self.w.table("fact_inventory_snapshot"))
@@ -314,13 +318,13 @@ def _sales_values(wanted: set[str]) -> dict[str, Column]:
 def _snapshot_values(wanted: set[str]) -> dict[str, Column]:
     ending, beginning = F.col("snapshot_type") == ENDING, F.col("snapshot_type") == BEGINNING
     value, on_hand = F.col("total_inventory_value"), F.col("quantity_on_hand")
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
     columns = {
         "beginning_inventory_value": F.when(beginning, value),
         "ending_inventory_value": F.when(ending, value),
         "current_stock_qty": F.when(ending, on_hand),
         "total_snapshot_records": one,
-        "out_of_stock_records": F.when(on_hand <= 0, one).otherwise(none),
+        "out_of_stock_records": F.when(on_hand <= 0, one),
         "beginning_rows": F.when(beginning, one),
         "ending_rows": F.when(ending, one),
         "ending_out_of_stock_rows": F.when(ending & (on_hand <= 0), one),
@@ -496,7 +500,7 @@ def _derived(wanted: set[str]) -> list[tuple[str, Column]]:
     )
     code = c("alert_code")
     stock, sold = c("current_stock_qty"), c("sales_qty_last_90_days")
-    stockout = safe_divide(F.coalesce(c("ending_out_of_stock_rows"), F.lit(0)), c("ending_rows"))
+    stockout = safe_divide(c("ending_out_of_stock_rows"), c("ending_rows"))
     catalogue = [
         ("average_inventory_value", average),
         ("inventory_turnover", safe_divide(c("total_cogs"), c("average_inventory_value"))),
@@ -546,12 +550,11 @@ def evaluate(
     names: list[str],
     where: Slice = Slice(),
     params: Replenishment | None = None,
-    known_only: bool = False,
 ) -> DataFrame:
     """The named measures at ``grain``, a list of PRODUCT, STORE, CLASS and MONTH.
 
-    A row exists where any fact has one. ``known_only`` leaves out rows of products that
-    are in neither the price list nor the sales.
+    A row exists where any fact has one; facts without a known product or store have a row
+    with a NULL key, so that rows add up to the total.
     """
     params = params or warehouse.settings.replenishment
     wanted = _closure(names)
@@ -579,8 +582,6 @@ def evaluate(
         rows = rows.withColumn("alert_code", _alert())
     for name, column in _derived(wanted):
         rows = rows.withColumn(name, column)
-    if known_only and PRODUCT in grain:
-        rows = rows.filter(F.col(PRODUCT).isNotNull())
     for name in ("dead_stock_sku_count", *SKU_COUNTS):
         if name in rows.columns and name in names:
             rows = rows.withColumn(name, F.nullif(F.col(name), F.lit(0)))
@@ -588,8 +589,13 @@ def evaluate(
 
 
 def turnover_ytd(warehouse: Warehouse, where: Slice = Slice()) -> DataFrame:
-    """Turnover of the year up to each month; the window runs over the months of a year."""
-    ctx = Context(warehouse, [MONTH], where)
+    """Turnover of the year up to each month; the window runs over the months of a year.
+
+    Date slicers choose the months that are shown. The year to date replaces them: it counts
+    from January whichever months are shown.
+    """
+    undated = replace(where, years=(), months=())
+    ctx = Context(warehouse, [MONTH], undated)
     wanted = {"total_cogs", "beginning_inventory_value", "ending_inventory_value"}
     months = ctx.calendar().select(MONTH).distinct()
     parts = [
@@ -604,6 +610,7 @@ def turnover_ytd(warehouse: Warehouse, where: Slice = Slice()) -> DataFrame:
     rows = stack(parts, [MONTH]).filter(F.col(MONTH).isNotNull())
     for name in sorted(wanted):
         rows = rows.withColumn(name, F.sum(name).over(to_date).cast("decimal(28,4)"))
+    rows = rows.filter(where.dates(F.to_date(F.concat(MONTH, F.lit("-01")))))
     zero = F.lit(0).cast("decimal(28,4)")
     beg, end = F.col("beginning_inventory_value"), F.col("ending_inventory_value")
     average = F.when(

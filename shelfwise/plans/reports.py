@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.config import DSI_DAYS, REORDER_WEEKS, WEEKS_PER_YEAR
+from shelfwise.config import DSI_DAYS, REORDER_WEEKS
 from shelfwise.functions.casting import ratio, rounded, safe_divide
 from shelfwise.functions.labels import (
+    abc_display,
     abc_priority_group,
     abc_sort,
     alert_label,
@@ -15,6 +16,7 @@ from shelfwise.functions.labels import (
 )
 from shelfwise.operators.ordered import number_rows
 from shelfwise.plans import kpis
+from shelfwise.plans.marts import sales_month
 from shelfwise.plans.measures import (
     CLASS,
     MONTH,
@@ -39,7 +41,8 @@ def _by_store(w: Warehouse, names: list[str], where: Slice) -> DataFrame:
     return rows.join(_store_numbers(w), STORE, "left").select("store_number", *names)
 
 
-def _product_names(w: Warehouse, *columns: str) -> DataFrame:
+def _product_names(w: Warehouse, *columns: str | Column) -> DataFrame:
+    """To be joined from the left: facts of unknown products keep a row, with NULL names."""
     return w.table("dim_product").select(PRODUCT, *columns)
 
 
@@ -97,9 +100,7 @@ def store_abc_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
             end.cast("decimal(28,4)").alias("ending_inventory_value"),
             rounded(turnover).alias("inventory_turnover"),
             ratio(F.lit(DSI_DAYS), turnover).alias("dsi_days"),
-            ratio(
-                F.coalesce(F.col("ending_out_of_stock_rows"), F.lit(0)), F.col("ending_rows")
-            ).alias("stockout_rate"),
+            ratio(F.col("ending_out_of_stock_rows"), F.col("ending_rows")).alias("stockout_rate"),
         )
         .orderBy(F.asc_nulls_last("store_number"), "level", F.asc_nulls_last(CLASS))
     )
@@ -138,13 +139,11 @@ def risk_detail(w: Warehouse, where: Slice = Slice()) -> DataFrame:
         "sku_lifecycle_status",
         "risk_priority_sort",
     ]
-    rows = evaluate(w, [PRODUCT, STORE], ["total_sales_qty", *names], where, known_only=True)
-    named = rows.join(_product_names(w, "brand", "abc_class"), PRODUCT).join(
+    rows = evaluate(w, [PRODUCT, STORE], ["total_sales_qty", *names], where)
+    named = rows.join(_product_names(w, "brand", abc_display().alias(CLASS)), PRODUCT, "left").join(
         _store_numbers(w), STORE, "left"
     )
-    return named.select(
-        "store_number", "brand", F.coalesce("abc_class", F.lit("Unclassified")).alias(CLASS), *names
-    ).orderBy(
+    return named.select("store_number", "brand", CLASS, *names).orderBy(
         "store_number",
         "risk_priority_sort",
         F.desc_nulls_last("dead_stock_value"),
@@ -160,10 +159,10 @@ def replenish_cards(w: Warehouse, where: Slice = Slice()) -> DataFrame:
 
 def rop_gap(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     names = ["current_stock_qty", "reorder_point_qty", "stock_vs_rop_gap"]
-    rows = evaluate(w, [PRODUCT, STORE], names, where, known_only=True)
+    rows = evaluate(w, [PRODUCT, STORE], names, where)
     return (
         rows.filter(F.col("stock_vs_rop_gap").isNotNull())
-        .join(_product_names(w, "brand"), PRODUCT)
+        .join(_product_names(w, "brand"), PRODUCT, "left")
         .join(_store_numbers(w), STORE, "left")
         .select("store_number", "brand", *names)
         .orderBy("stock_vs_rop_gap", "store_number", "brand")
@@ -217,30 +216,30 @@ def replenish_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     brands = _product_names(w, "brand", "abc_class").select(
         PRODUCT, "brand", abc_priority_group().alias("abc_priority_group")
     )
-    group_of_class = F.when(F.col(CLASS) == "Unclassified", F.lit(None)).otherwise(F.col(CLASS))
+    group_of_class = F.when(F.col(CLASS) != "Unclassified", F.col(CLASS))
+    known_group = F.when(F.col(CLASS).isNotNull(), abc_priority_group())
     no_brand = F.lit(None).cast("bigint").alias("brand")
     no_store = F.lit(None).cast("bigint").alias("store_number")
 
     groups = (
         evaluate(w, [CLASS], REPLENISHMENT, where)
-        .filter(F.col(CLASS).isNotNull())
         .withColumn("abc_class", group_of_class)
         .select(
             F.lit("group").alias("level"),
-            abc_priority_group().alias("abc_priority_group"),
+            known_group.alias("abc_priority_group"),
             no_brand,
             no_store,
             *REPLENISHMENT,
         )
     )
     products = (
-        evaluate(w, [PRODUCT], REPLENISHMENT, where, known_only=True)
-        .join(brands, PRODUCT)
+        evaluate(w, [PRODUCT], REPLENISHMENT, where)
+        .join(brands, PRODUCT, "left")
         .select(F.lit("brand").alias("level"), "abc_priority_group", "brand", no_store, *REPLENISHMENT)
     )
     positions = (
-        evaluate(w, [PRODUCT, STORE], REPLENISHMENT, where, known_only=True)
-        .join(brands, PRODUCT)
+        evaluate(w, [PRODUCT, STORE], REPLENISHMENT, where)
+        .join(brands, PRODUCT, "left")
         .join(_store_numbers(w), STORE, "left")
         .withColumn("level", F.lit("store"))
         .select(*columns)
@@ -268,11 +267,11 @@ def sku_detail(w: Warehouse, where: Slice = Slice()) -> DataFrame:
         "current_stock_qty",
         "reorder_alert",
     ]
-    rows = evaluate(w, [PRODUCT], names, where, known_only=True)
+    rows = evaluate(w, [PRODUCT], names, where)
     labelled = _product_names(w, "brand", "abc_class").select(
         PRODUCT, "brand", abc_priority_group().alias("abc_priority_group")
     )
-    return rows.join(labelled, PRODUCT).select("brand", "abc_priority_group", *names)
+    return rows.join(labelled, PRODUCT, "left").select("brand", "abc_priority_group", *names)
 
 
 def sliced_by_store(w: Warehouse, where: Slice) -> DataFrame:
@@ -335,12 +334,12 @@ def store_revenue_rank(w: Warehouse, where: Slice = Slice()) -> DataFrame:
 
 def sku_week_run_rate(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     """Weekly revenue at stake per SKU, and the stock level that should trigger an order."""
-    weeks = F.lit(WEEKS_PER_YEAR)
-    rows = evaluate(w, [PRODUCT], ["total_revenue", "total_sales_qty"], where, known_only=True)
+    weeks = F.lit(w.settings.period.weeks)
+    rows = evaluate(w, [PRODUCT], ["total_revenue", "total_sales_qty"], where)
     velocity = safe_divide(F.col("total_sales_qty"), weeks)
     return (
         rows.filter(F.col("total_revenue").isNotNull())
-        .join(_product_names(w, "brand"), PRODUCT)
+        .join(_product_names(w, "brand"), PRODUCT, "left")
         .select(
             "brand",
             "total_revenue",
@@ -352,9 +351,10 @@ def sku_week_run_rate(w: Warehouse, where: Slice = Slice()) -> DataFrame:
 
 
 def bottom_c_class(w: Warehouse, where: Slice = Slice()) -> DataFrame:
-    """Class C products in the lowest fifth by revenue that sold nothing lately."""
+    """Class C products in the lowest fifth by revenue that sold nothing in the last calendar
+    quarter of the period."""
     rows = evaluate(
-        w, [PRODUCT], ["total_revenue", "sales_qty_last_90_days"], where, known_only=True
+        w, [PRODUCT], ["total_revenue"], where
     )
     class_c = rows.join(
         _product_names(w, "brand", "abc_class").filter(F.col("abc_class") == "C"), PRODUCT
@@ -362,10 +362,19 @@ def bottom_c_class(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     placed = number_rows(
         class_c, [F.asc("total_revenue"), F.asc(PRODUCT)], "velocity_rank", "class_size"
     )
-    idle = F.coalesce(F.col("sales_qty_last_90_days"), F.lit(0)) == 0
-    return placed.filter(
-        (F.col("velocity_rank") * BOTTOM_SHARE <= F.col("class_size")) & idle
-    ).select("brand", "total_revenue", "velocity_rank")
+    period = w.settings.period
+    day = F.col("sales_date")
+    lately = (
+        Context(w, [PRODUCT], where)
+        .all_sales()
+        .filter((day >= F.lit(period.last_quarter_start)) & (day <= F.lit(period.end)))
+        .filter(F.col("sales_month") >= sales_month(F.lit(period.last_quarter_start)))
+        .groupBy(PRODUCT)
+        .agg(F.sum("sales_quantity").alias("sold_lately"))
+        .filter("sold_lately <> 0")
+    )
+    slow = placed.filter(F.col("velocity_rank") * BOTTOM_SHARE <= F.col("class_size"))
+    return slow.join(lately, PRODUCT, "left_anti").select("brand", "total_revenue", "velocity_rank")
 
 
 def dead_stock_clearance(w: Warehouse) -> DataFrame:
@@ -374,7 +383,7 @@ def dead_stock_clearance(w: Warehouse) -> DataFrame:
     not one per pair of stores."""
     dead = kpis.unsold_flagged(
         w.table("fact_sales"), w.table("fact_inventory_snapshot")
-    ).filter(F.col("sold").isNull() & (F.col("end_qty") > 0) & F.col(PRODUCT).isNotNull())
+    ).filter(F.col("sold").isNull() & (F.col("end_qty") > 0))
     sold_at = (
         w.table("fact_sales")
         .groupBy(PRODUCT, STORE)
@@ -390,13 +399,13 @@ def dead_stock_clearance(w: Warehouse) -> DataFrame:
         F.when(F.col("abc_class") == "C", 1).when(F.col("abc_class").isNull(), 2).otherwise(3)
     )
     return (
-        dead.join(_product_names(w, "brand", "abc_class"), PRODUCT)
+        dead.join(_product_names(w, "brand", "abc_class", abc_display().alias(CLASS)), PRODUCT, "left")
         .join(_store_numbers(w), STORE, "left")
         .join(sellers, PRODUCT, "left")
         .select(
             "store_number",
             "brand",
-            F.coalesce("abc_class", F.lit("Unclassified")).alias(CLASS),
+            CLASS,
             F.col("end_qty").cast("decimal(28,2)").alias("dead_units"),
             step.alias("clearance_step"),
             F.when(movable, F.col("selling_stores")).alias("selling_stores"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import Period, Settings
 from shelfwise.operators import abc
 from shelfwise.plans import marts, staging
-from shelfwise.session import shared_dir, write_and_read
+from shelfwise.session import cuts_so_far, drop_cuts, shared_dir, write_and_read
 from shelfwise.sources.retail_feed import PERIOD, RetailFeed
 from shelfwise.sources.schemas import RAW_TABLES
 
@@ -23,6 +23,8 @@ PARTITION = {"fact_sales": "sales_month", "fact_inventory_snapshot": "snapshot_t
 class Warehouse:
     """Tables by name. ``build`` plans one from its inputs; ``table`` stores it first.
 
+    A warehouse holds for the application: input that changes under the same path is not seen.
+
     ``raw`` maps each raw table to a function that gives its DataFrame.
     """
 
@@ -48,11 +50,12 @@ class Warehouse:
         if key not in _opened:
             feed = RetailFeed(spark, data_folder)
             raw = {
-                "raw_sales": lambda w: feed.sales(),
-                "raw_purchases": lambda w: feed.purchases(),
-                "raw_beg_inventory": lambda w: feed.beg_inventory(),
-                "raw_end_inventory": lambda w: feed.end_inventory(),
-                "raw_purchase_prices": lambda w: feed.purchase_prices(),
+                "feed_lines": lambda w: feed.lines(),
+                "raw_sales": lambda w: feed.sales(w.table("feed_lines")),
+                "raw_purchases": lambda w: feed.purchases(w.table("feed_lines")),
+                "raw_beg_inventory": lambda w: feed.beg_inventory(w.table("feed_lines")),
+                "raw_end_inventory": lambda w: feed.end_inventory(w.table("feed_lines")),
+                "raw_purchase_prices": lambda w: feed.purchase_prices(w.table("feed_lines")),
                 "raw_invoice_purchases": lambda w: feed.invoice_purchases(
                     w.table("raw_purchases")
                 ),
@@ -77,10 +80,11 @@ class Warehouse:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._stored:
+            before = cuts_so_far(self.spark)
             df = self.build(name)
             if name in RAW_TABLES and self._raw_is_stored:
                 return self._stored.setdefault(name, df)
-            layer = "raw" if name in RAW_TABLES else "staging" if name in staging.STAGED else "marts"
+            layer = "raw" if name in self._raw else "staging" if name in staging.STAGED else "marts"
             if layer == "staging":
                 df = staging.stamped(df)
             if name == "fact_sales":
@@ -88,12 +92,14 @@ class Warehouse:
             self._stored[name] = write_and_read(
                 df, f"{self.folder}/{layer}/{name}", PARTITION.get(name)
             )
+            # copies made on the way to this table have served their purpose
+            drop_cuts(self.spark, since=before)
         return self._stored[name]
 
     def build(self, name: str) -> DataFrame:
         """The plan of a table over its stored inputs."""
         t = self.table
-        if name in RAW_TABLES:
+        if name in self._raw:
             return self._raw[name](self)
         if name in staging.STAGED:
             return staging.stage(t(staging.STAGED_FROM[name]), name, self.settings.period)

@@ -62,13 +62,18 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return write_and_read(df, path)
 
 
-def drop_cuts(spark: SparkSession, prefix: str = "") -> None:
-    """Remove this application's written copies whose label begins with ``prefix``.
+def cuts_so_far(spark: SparkSession) -> int:
+    return len(_cuts.get(spark.sparkContext.applicationId, []))
+
+
+def drop_cuts(spark: SparkSession, prefix: str = "", since: int = 0) -> None:
+    """Remove this application's written copies whose label begins with ``prefix``, but for
+    the first ``since`` ones.
 
     Only for when every result that was computed from them has been written.
     """
     paths = _cuts.get(spark.sparkContext.applicationId, [])
-    gone = [p for p in paths if p.rpartition("/")[2].startswith(prefix)]
+    gone = [p for p in paths[since:] if p.rpartition("/")[2].startswith(prefix)]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

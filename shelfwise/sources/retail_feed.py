@@ -1,10 +1,13 @@
 """The six raw extracts, derived from the order tables (region ... lineitem).
 
-Every order line is a purchase line. Lines that were not returned are sales. The
-opening and the closing stock count cover every line, by line status. A SKU (brand) is
-a part in one of its pack sizes, numbered like the order lines. Promotional parts
-are not on the price list, and suppliers in debt send no invoices, so the
-extracts disagree with each other as real ones do.
+Every order line is a purchase line and a sales line; a returned line is a sale of negative
+quantity and dollars. The opening and the closing stock count cover every line, by line
+status. A SKU (brand) is a part in one of its pack sizes, numbered like the order lines.
+
+No row is left out. Where the extracts have to disagree with each other, as real ones do, a
+value is empty instead: the price list gives no brand for promotional parts, invoices of
+suppliers in debt carry no vendor number, large promotional packs are sold and counted without
+a brand, one store writes no inventory numbers, and open lines have no receiving date.
 
 Each extract is described once, as expressions that mean the same to any SQL engine;
 the Spark side assembles them with the DataFrame API.
@@ -24,9 +27,10 @@ from shelfwise.config import Period
 PERIOD = Period(dt.date(1995, 2, 1), dt.date(2001, 9, 30))
 PACK_SIZES = 7
 
-BRAND = "CAST(l_partkey * 10 + l_linenumber AS STRING)"
+PACK = "CAST(l_partkey * 10 + l_linenumber AS STRING)"
+BRAND = f"CASE WHEN p_type = 'PROMO' AND p_size > 45 THEN NULL ELSE {PACK} END"
 STORE = "CAST(n_nationkey + 1 AS STRING)"
-INVENTORY_ID = f"{STORE} || '_' || n_name || '_' || {BRAND}"
+INVENTORY_ID = f"{STORE} || '_' || NULLIF(n_name, 'NATION_7') || '_' || {PACK}"
 DESCRIPTION = "p_name || ' x' || CAST(l_linenumber AS STRING)"
 SIZE = "CAST(p_size * 25 * l_linenumber AS STRING) || 'mL'"
 CITY = "NULLIF(n_name, 'NATION_7')"
@@ -40,6 +44,7 @@ PACK_COST = (
     "AS DECIMAL(10,2))"
 )
 QUANTITY = "CAST(l_quantity AS DECIMAL(10,2))"
+SIGNED = "CASE WHEN l_returnflag = 'R' THEN -{0} ELSE {0} END"
 # goods returned or accepted lie in stock; unexplained lines at full price are shrinkage
 COUNTED = (
     f"CASE WHEN l_returnflag <> 'N' THEN {QUANTITY} WHEN l_discount = 0 THEN -{QUANTITY} "
@@ -52,8 +57,10 @@ SALES = {
     "brand": BRAND,
     "description": DESCRIPTION,
     "size": SIZE,
-    "sales_quantity": f"CAST({QUANTITY} AS STRING)",
-    "sales_dollars": "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING)",
+    "sales_quantity": f"CAST({SIGNED.format(QUANTITY)} AS STRING)",
+    "sales_dollars": (
+        f"CAST({SIGNED.format('CAST(l_extendedprice AS DECIMAL(12,2))')} AS STRING)"
+    ),
     "sales_price": (
         "CAST(CAST(FLOOR(ROUND(l_extendedprice * 100) / l_quantity) AS DECIMAL(12,0)) "
         "* CAST(0.01 AS DECIMAL(3,2)) AS STRING)"
@@ -78,7 +85,9 @@ PURCHASES = {
     "vendor_name": "s_name",
     "po_number": "CAST(l_orderkey AS STRING)",
     "po_date": "CAST(CAST(o_orderdate AS DATE) AS STRING)",
-    "receiving_date": "CAST(CAST(l_shipdate AS DATE) AS STRING)",
+    "receiving_date": (
+        "CASE WHEN l_linestatus = 'F' THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END"
+    ),
     "invoice_date": "CAST(CAST(CAST(l_shipdate AS DATE) + INTERVAL 7 DAY AS DATE) AS STRING)",
     "pay_date": "CAST(CAST(CAST(l_shipdate AS DATE) + INTERVAL 35 DAY AS DATE) AS STRING)",
     "purchase_price": f"CAST({PACK_COST} AS STRING)",
@@ -100,7 +109,7 @@ INVENTORY = {
     "price": f"CAST({PACK_PRICE} AS STRING)",
 }
 PRICES = {
-    "brand": BRAND,
+    "brand": f"CASE WHEN p_type <> 'PROMO' THEN {PACK} END",
     "description": DESCRIPTION,
     "price": f"CASE WHEN p_size = 1 THEN '0' ELSE CAST({PACK_PRICE} AS STRING) END",
     "size": SIZE,
@@ -110,6 +119,7 @@ PRICES = {
     "vendor_number": "CAST(first_supplier AS STRING)",
     "vendor_name": "s_name",
 }
+BILLED_AS = "CASE WHEN s_acctbal >= 0 THEN vendor_number END"
 INVOICES = {
     "vendor_number": "vendor_number",
     "vendor_name": "MAX(vendor_name)",
@@ -125,9 +135,6 @@ INVOICES = {
     ),
     "approval": "CASE WHEN SUM(CAST(dollars AS DECIMAL(12,2))) > 100000 THEN 'Approver' END",
 }
-SOLD = "l_returnflag <> 'R'"
-LISTED = "p_type <> 'PROMO'"
-INVOICED = "s_acctbal >= 0"
 COUNT_STATUS = {"raw_beg_inventory": "F", "raw_end_inventory": "O"}
 
 
@@ -135,6 +142,20 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
+LINE_COLUMNS = (
+    "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax "
+    "l_returnflag l_linestatus l_shipdate o_orderdate o_orderpriority p_name p_size p_type "
+    "p_retailprice s_name s_nationkey source_name n_nationkey n_name"
+).split()
+
+
+def _at_source(lines: DataFrame) -> DataFrame:
+    """Lines as seen by the store they were delivered to."""
+    return lines.drop("n_nationkey", "n_name").withColumns(
+        {"n_nationkey": F.col("s_nationkey"), "n_name": F.col("source_name")}
+    )
+
+
 @dataclass(frozen=True)
 class RetailFeed:
     spark: SparkSession
@@ -143,76 +164,61 @@ class RetailFeed:
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _lines(self) -> DataFrame:
-        """Order lines, in at least as many tasks as there are cores.
-
-        A table of a few row groups is read by as few tasks, and the joins below would
-        stay with them. Large tables have more splits than cores and pass unchanged.
-        """
-        lines = self._table("lineitem")
-        cores = self.spark.sparkContext.defaultParallelism
-        return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
-
-    def sales(self) -> DataFrame:
-        """Lines that stayed sold, at the store of the customer's nation."""
+    def lines(self) -> DataFrame:
+        """Every order line with its order, part and supplier, the store of the customer's
+        nation and the source of the supplier's. Written once; all extracts but the price
+        list read it."""
         store = self._table("customer").join(
             self._table("nation"), F.expr("c_nationkey = n_nationkey")
         )
-        return _project(
-            self._lines()
-            .filter(SOLD)
+        source = self._table("nation").select(
+            F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("source_name")
+        )
+        return (
+            self._table("lineitem")
             .join(self._table("orders"), F.expr("l_orderkey = o_orderkey"))
             .join(store, F.expr("o_custkey = c_custkey"))
             .join(self._table("part"), F.expr("l_partkey = p_partkey"))
-            .join(self._table("supplier"), F.expr("l_suppkey = s_suppkey")),
-            SALES,
+            .join(self._table("supplier"), F.expr("l_suppkey = s_suppkey"))
+            .join(source, "s_nationkey")
+            .select(*LINE_COLUMNS)
         )
 
-    def purchases(self) -> DataFrame:
+    def sales(self, lines: DataFrame) -> DataFrame:
+        """Every line, at the store of the customer's nation."""
+        return _project(lines, SALES)
+
+    def purchases(self, lines: DataFrame) -> DataFrame:
         """Every line, delivered to the store of the supplier's nation."""
-        source = self._table("supplier").join(
-            self._table("nation"), F.expr("s_nationkey = n_nationkey")
-        )
-        return _project(
-            self._lines()
-            .join(self._table("orders"), F.expr("l_orderkey = o_orderkey"))
-            .join(self._table("part"), F.expr("l_partkey = p_partkey"))
-            .join(source, F.expr("l_suppkey = s_suppkey")),
-            PURCHASES,
-        )
+        return _project(_at_source(lines), PURCHASES)
 
-    def _stock_count(self, status: str, date_column: str, day: dt.date) -> DataFrame:
+    def _stock_count(self, lines: DataFrame, status: str, date_column: str, day: dt.date) -> DataFrame:
+        """What else describes a position follows from its part and store."""
+        keys = ["n_nationkey", "l_partkey", "l_linenumber"]
+        described = ["n_name", "p_name", "p_size", "p_type", "p_retailprice"]
         positions = (
-            self._table("lineitem")
+            _at_source(lines)
             .filter(F.col("l_linestatus") == status)
-            .join(self._table("supplier"), F.expr("l_suppkey = s_suppkey"))
-            .groupBy("s_nationkey", "l_partkey", "l_linenumber")
+            .groupBy(*keys, *described)
             .agg(F.sum(F.expr(COUNTED)).alias("counted"))
         )
-        return _project(
-            positions.join(self._table("part"), F.expr("l_partkey = p_partkey")).join(
-                self._table("nation"), F.expr("s_nationkey = n_nationkey")
-            ),
-            {**INVENTORY, date_column: f"'{day}'"},
-        )
+        return _project(positions, {**INVENTORY, date_column: f"'{day}'"})
 
-    def beg_inventory(self) -> DataFrame:
-        return self._stock_count(COUNT_STATUS["raw_beg_inventory"], "start_date", PERIOD.start)
+    def beg_inventory(self, lines: DataFrame) -> DataFrame:
+        status = COUNT_STATUS["raw_beg_inventory"]
+        return self._stock_count(lines, status, "start_date", PERIOD.start)
 
-    def end_inventory(self) -> DataFrame:
-        return self._stock_count(COUNT_STATUS["raw_end_inventory"], "end_date", PERIOD.end)
+    def end_inventory(self, lines: DataFrame) -> DataFrame:
+        status = COUNT_STATUS["raw_end_inventory"]
+        return self._stock_count(lines, status, "end_date", PERIOD.end)
 
-    def purchase_prices(self) -> DataFrame:
-        """Each listed part in each pack size; its vendor is the first that shipped it."""
-        packs = (
-            self._table("part")
-            .filter(LISTED)
-            .withColumn("l_linenumber", F.explode(F.sequence(F.lit(1), F.lit(PACK_SIZES))))
+    def purchase_prices(self, lines: DataFrame) -> DataFrame:
+        """Each part in each pack size; its vendor is the first that shipped it."""
+        packs = self._table("part").withColumn(
+            "l_linenumber", F.explode(F.sequence(F.lit(1), F.lit(PACK_SIZES)))
         )
-        vendors = (
-            self._table("lineitem")
-            .groupBy("l_partkey", "l_linenumber")
-            .agg(F.min("l_suppkey").alias("first_supplier"))
+        vendors = lines.groupBy("l_partkey", "l_linenumber").agg(
+            F.min("l_suppkey").alias("first_supplier")
         )
         return _project(
             packs.withColumn("l_partkey", F.col("p_partkey"))
@@ -222,15 +228,14 @@ class RetailFeed:
         )
 
     def invoice_purchases(self, purchases: DataFrame) -> DataFrame:
-        """One invoice per vendor and order, from vendors that are not in debt."""
-        invoicing = (
-            self._table("supplier")
-            .filter(INVOICED)
-            .select(F.col("s_suppkey").cast("string").alias("vendor_number"))
+        """One invoice per vendor and order; together for vendors that may not be named."""
+        balance = self._table("supplier").select(
+            F.col("s_suppkey").cast("string").alias("vendor_number"), "s_acctbal"
         )
         keys = ["vendor_number", "po_number"]
         return (
-            purchases.join(invoicing, "vendor_number", "left_semi")
+            purchases.join(balance, "vendor_number")
+            .withColumn("vendor_number", F.expr(BILLED_AS))
             .groupBy(*keys)
             .agg(*[F.expr(sql).alias(c) for c, sql in INVOICES.items() if c not in keys])
             .select(*INVOICES)
