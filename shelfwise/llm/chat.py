@@ -69,16 +69,19 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("depth").alias("more"),
             F.col("total").alias("plus"),
         )
-        state = written(
-            state.join(above, ["tree", "up"], "left").select(
+        # messages that have met their root rest; only deep trees go on
+        moved = (
+            state.where("up is not null")
+            .join(above, ["tree", "up"])
+            .select(
                 "tree",
                 "id",
                 F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            ),
-            "chat-round",
+                (F.col("depth") + F.col("more")).alias("depth"),
+                (F.col("total") + F.col("plus")).alias("total"),
+            )
         )
+        state = written(moved.unionByName(state.where("up is null")), "chat-round")
         steps *= 2
     # what still has an ancestor goes round in a ring
     return out, state.where("up is null").select("tree", "id", "depth", "total")
