@@ -102,6 +102,7 @@ def _quality_jobs() -> dict[str, Job]:
         "src08_column_audit": lambda w: column_audit(w.raw_tables()),
         "dq01_row_counts": lambda w: quality.row_counts(w.raw_tables()),
         "dq03_business_rules": lambda w: quality.business_rules(w.raw_tables()),
+        "dq11_junk_values": lambda w: staging.junk_counts(w.raw_tables()),
         "dq04_date_ranges": lambda w: quality.date_ranges(w.raw_tables(), w.settings.period),
         "dq05a_dup_sales": lambda w: quality.duplicates(
             w.table("raw_sales"), ["inventory_id", "sales_date", "sales_quantity"]
@@ -244,7 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: bound(job) for name, job in jobs().items()}
     # the duplicate check on a table that does hold duplicates
     found["dq05_dup_order_lines"] = lambda spark, sf_dir: quality.duplicates(
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"], top=None
     )
     return dict(sorted(found.items()))
 

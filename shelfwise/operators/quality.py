@@ -37,7 +37,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _number(name: str) -> Column:
-    """Numeric reading of raw text; what cannot be read is left to other checks."""
+    """Numeric reading of raw text; what cannot be read is counted by ``junk_counts``."""
     return cleaned(name).try_cast(_NUMBER)
 
 
@@ -173,17 +173,17 @@ def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> Da
     )
 
 
-def vendor_whitespace(df: DataFrame, top: int = REPORT_TOP_N) -> DataFrame:
+def vendor_whitespace(df: DataFrame, top: int | None = REPORT_TOP_N) -> DataFrame:
     """Vendor names with leading or trailing blanks, longest first."""
     raw_len, trimmed_len = F.length("vendor_name"), F.length(F.trim("vendor_name"))
-    return (
+    names = (
         df.select("vendor_name")
         .filter(raw_len != trimmed_len)
         .distinct()
         .select("vendor_name", raw_len.alias("raw_len"), trimmed_len.alias("trimmed_len"))
         .orderBy(F.desc("raw_len"), "vendor_name")
-        .limit(top)
     )
+    return names.limit(top) if top else names
 
 
 def reconcile(raw: dict[str, DataFrame], staged: dict[str, DataFrame]) -> DataFrame:

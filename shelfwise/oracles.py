@@ -326,6 +326,15 @@ def quality_sql() -> dict[str, str]:
                 _range("raw_invoice_purchases", "invoice_date", p.purchases_start),
             ]
         ),
+        "dq11_junk_values": " UNION ALL ".join(
+            f"SELECT '{source}' AS table_name, '{raw}' AS column_name, COUNT(*) FILTER (WHERE "
+            f"NULLIF(NULLIF(TRIM({raw}), ''), 'Unknown') IS NOT NULL AND "
+            f"TRY_CAST(NULLIF(NULLIF(TRIM({raw}), ''), 'Unknown') AS {kind}) IS NULL) AS junk_rows "
+            f"FROM {source}"
+            for table, source in staging.STAGED_FROM.items()
+            for raw, kind in staging.STAGED[table].values()
+            if kind not in (staging.TEXT, staging.TRIMMED)
+        ),
         "dq05a_dup_sales": """
 SELECT inventory_id, sales_date, sales_quantity, COUNT(*) AS dup_count FROM raw_sales
 GROUP BY 1, 2, 3 HAVING COUNT(*) > 1 ORDER BY dup_count DESC, 1, 2, 3 LIMIT 20""",
@@ -334,7 +343,7 @@ SELECT brand, description, size, COUNT(*) AS dup_count FROM raw_purchase_prices
 GROUP BY 1, 2, 3 HAVING COUNT(*) > 1 ORDER BY dup_count DESC, 1, 2, 3 LIMIT 20""",
         "dq05_dup_order_lines": """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS dup_count FROM lineitem
-GROUP BY 1, 2 HAVING COUNT(*) > 1 ORDER BY dup_count DESC, 1, 2 LIMIT 20""",
+GROUP BY 1, 2 HAVING COUNT(*) > 1""",
         "dq06a_sales_not_in_beg": _orphans(
             "raw_sales", "raw_beg_inventory", "inventory_id", "sales_not_in_beg_inv"
         ),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,10 +142,40 @@ def stamped(staged: DataFrame) -> DataFrame:
     return staged.withColumn(LOAD_STAMP, F.current_timestamp())
 
 
-def quarantine(raw: DataFrame, table: str) -> DataFrame:
-    """Raw rows holding a value that cannot be cast, with the offending columns."""
+def _junk(table: str) -> Column:
+    """The raw columns of ``table`` whose value cannot be cast."""
     typed = [(r, k) for r, k in STAGED[table].values() if k not in (TEXT, TRIMMED)]
-    bad = F.filter(
+    return F.filter(
         F.array(*[F.when(is_junk(r, k), F.lit(r)) for r, k in typed]), lambda c: c.isNotNull()
     )
-    return raw.withColumn("junk_columns", bad).filter(F.size("junk_columns") > 0)
+
+
+def quarantine(raw: DataFrame, table: str) -> DataFrame:
+    """Raw rows holding a value that cannot be cast, with the offending columns."""
+    return raw.withColumn("junk_columns", _junk(table)).filter(F.size("junk_columns") > 0)
+
+
+def clean(raw: DataFrame, table: str) -> DataFrame:
+    """The raw rows that ``quarantine`` leaves."""
+    return raw.filter(F.size(_junk(table)) == 0)
+
+
+def junk_counts(raw: dict[str, DataFrame]) -> DataFrame:
+    """Rows that cannot be cast, per raw table and column, in one pass per table."""
+    parts = []
+    for table, source in STAGED_FROM.items():
+        typed = [(r, k) for r, k in STAGED[table].values() if k not in (TEXT, TRIMMED)]
+        counted = raw[source].agg(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(source).alias("table_name"),
+                        F.lit(r).alias("column_name"),
+                        F.count_if(is_junk(r, k)).alias("junk_rows"),
+                    )
+                    for r, k in typed
+                ]
+            ).alias("columns")
+        )
+        parts.append(counted.select(F.inline("columns")))
+    return reduce(DataFrame.unionByName, parts)

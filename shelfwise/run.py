@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from shelfwise import catalog  # noqa: E402
 from shelfwise.config import Period  # noqa: E402
+from shelfwise.plans import staging  # noqa: E402
 from shelfwise.plans.warehouse import Warehouse  # noqa: E402
 from shelfwise.sources.extracts import LoadReport, load_catalog  # noqa: E402
 from shelfwise.sources.schemas import RAW_TABLES, contract_report, text_schema  # noqa: E402
@@ -33,9 +34,18 @@ def run(
     target: str,
     period: Period,
     only: tuple[str, ...] = (),
+    multi_line: bool = False,
+    set_aside: bool = False,
 ) -> LoadReport:
-    """Loads, builds and writes. Stops after the load when a raw table is missing or odd."""
-    report = load_catalog(spark, files, f"{target}/raw")
+    """Loads, builds and writes. Stops after the load when a raw table is missing or odd.
+
+    A value that cannot be cast ends the run, unless ``set_aside`` is asked for: then rows with
+    such values go to ``<target>/quarantine/<table>``, with the offending columns, and the run
+    goes on with the others. Malformed records end the run unless they are set aside too.
+    """
+    report = load_catalog(spark, files, f"{target}/raw", multi_line)
+    if set_aside:
+        report.errors = [e for e in report.errors if not e[1].endswith("malformed records")]
     loaded = {t: spark.read.parquet(f"{target}/raw/{t}") for t in report.rows_by_table}
     problems = contract_report(spark, loaded).filter("problem <> 'extra'")
     report.errors += [
@@ -44,6 +54,11 @@ def run(
     if report.errors:
         return report
     raw = {t: spark.read.schema(text_schema(t)).parquet(f"{target}/raw/{t}") for t in RAW_TABLES}
+    if set_aside:
+        for staged, table in staging.STAGED_FROM.items():
+            junk = staging.quarantine(raw[table], staged)
+            junk.write.mode("overwrite").parquet(f"{target}/quarantine/{table}")
+            raw[table] = staging.clean(raw[table], staged)
     warehouse = Warehouse.over_raw(spark, raw, period, target)
     for name, job in catalog.jobs().items():
         if not only or name.startswith(only):
@@ -57,6 +72,8 @@ def main(argv: list[str]) -> int:
     parser.add_argument("--target", required=True)
     parser.add_argument("--period", nargs=2, type=dt.date.fromisoformat, required=True)
     parser.add_argument("--only", nargs="*", default=[], help="name prefixes of the queries")
+    parser.add_argument("--multi-line", action="store_true", help="line breaks inside quotes")
+    parser.add_argument("--set-aside", action="store_true", help="go on without bad rows")
     options = parser.parse_args(argv)
     spark = SparkSession.builder.appName("shelfwise").getOrCreate()
     report = run(
@@ -65,6 +82,8 @@ def main(argv: list[str]) -> int:
         options.target,
         Period(*options.period),
         tuple(options.only),
+        options.multi_line,
+        options.set_aside,
     )
     for table, rows in report.rows_by_table.items():
         print(f"{table}: {rows} rows")

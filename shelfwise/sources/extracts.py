@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREVIEW_ROWS = 100
 AUDIT_SCHEMA = "table_name string, rows_loaded bigint, source_file string, loaded_at timestamp"
@@ -26,15 +27,12 @@ def snake_case(header: str) -> str:
     return _DROPPED.sub("", name).lower()
 
 
-def read_extract(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text, headers in snake case, empty and quoted empty as NULL.
+MALFORMED = "malformed_record"
 
-    Words such as ``NA`` or ``Unknown`` and inner blanks stay as they are. Files are
-    split between tasks unless ``multi_line`` asks for line breaks inside quotes.
-    """
-    df = (
+
+def _csv(spark: SparkSession, multi_line: bool):
+    return (
         spark.read.option("header", True)
-        .option("inferSchema", False)
         # an extract may be many files: one whose header differs fails, it is not misread
         .option("enforceSchema", False)
         .option("encoding", "UTF-8")
@@ -43,19 +41,50 @@ def read_extract(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         .option("multiLine", multi_line)
         .option("nullValue", "")
         .option("emptyValue", "")
-        .csv(path)
     )
-    df = df.toDF(*[snake_case(c.lstrip("﻿")) for c in df.columns])
-    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
-def write_preview(spark: SparkSession, path: str, target: str, rows: int = PREVIEW_ROWS) -> None:
-    """The first rows of an extract as one review CSV, in file order.
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, headers in snake case, empty and quoted empty as NULL, and in
+    ``MALFORMED`` the text of records that have more or fewer fields than the header.
+
+    Words such as ``NA`` or ``Unknown`` and inner blanks stay as they are. Files are
+    split between tasks unless ``multi_line`` asks for line breaks inside quotes.
+    """
+    header = _csv(spark, multi_line).option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, MALFORMED]])
+    df = _csv(spark, multi_line).option("columnNameOfCorruptRecord", MALFORMED).schema(schema).csv(path)
+    names = [snake_case(c.lstrip("\ufeff")) for c in header]
+    df = df.toDF(*names, MALFORMED)
+    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], MALFORMED)
+
+
+def read_extract(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The well-formed records of an extract, without the ``MALFORMED`` column."""
+    return read_records(spark, path, multi_line).filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def write_preview(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    rows: int = PREVIEW_ROWS,
+    multi_line: bool = False,
+) -> None:
+    """The first rows of an extract as one review CSV, in file order, their text unchanged.
 
     The limit stops the scan early, so this never reads the whole extract.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    raw.limit(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(target)
+    first = _csv(spark, multi_line).option("inferSchema", False).csv(path).limit(rows)
+    (
+        first.coalesce(1)
+        .write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(target)
+    )
 
 
 @dataclass
@@ -95,14 +124,29 @@ def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     )
 
 
-def load_catalog(spark: SparkSession, files: dict[str, str], target: str) -> LoadReport:
-    """Load each table from its file, replacing it; a bad file does not stop the rest."""
+def load_catalog(
+    spark: SparkSession, files: dict[str, str], target: str, multi_line: bool = False
+) -> LoadReport:
+    """Load each table from its file, replacing it; a bad file does not stop the rest.
+
+    Malformed records are errors of the report. Their text is kept in
+    ``<target>/malformed/<table>``; the table gets the other records.
+    """
     report = LoadReport()
     for table, path in files.items():
         try:
-            rows = replace_table(read_extract(spark, path), f"{target}/{table}")
+            seen = Observation()
+            bad = F.count(MALFORMED).alias("bad")
+            records = read_records(spark, path, multi_line).observe(seen, bad)
+            rows = replace_table(
+                records.filter(F.col(MALFORMED).isNull()).drop(MALFORMED), f"{target}/{table}"
+            )
             append_audit(spark, f"{target}/load_audit", table, rows, path)
             report.rows_by_table[table] = rows
+            if malformed := seen.get["bad"]:
+                report.errors.append((table, f"{malformed} malformed records"))
+                text = read_records(spark, path, multi_line).filter(F.col(MALFORMED).isNotNull())
+                text.write.mode("overwrite").parquet(f"{target}/malformed/{table}")
         except Exception as failure:  # noqa: BLE001 - recorded, the other tables still load
             report.errors.append((table, str(failure).splitlines()[0]))
     return report

@@ -95,3 +95,33 @@ def test_column_audit(spark, raw):
     audit = column_audit({"raw_sales": raw("raw_sales", [{"brand": "1"}, {}])}).collect()
     assert [r.ordinal_position for r in audit] == list(range(1, 15))
     assert {r.column_name: r.filled_rows for r in audit if r.filled_rows} == {"brand": 1}
+
+
+@pytest.fixture
+def bad_csv(tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text('A,B,C\n1,x,y\n2,x,3,EXTRA\n3,y\n4,"two\nlines",z\n', encoding="utf-8")
+    return str(path)
+
+
+def test_malformed_records_are_reported_not_cut(spark, bad_csv, tmp_path):
+    target = str(tmp_path / "raw")
+    report = load_catalog(spark, {"t": bad_csv}, target, multi_line=True)
+    assert report.errors == [("t", "2 malformed records")]
+    rows = spark.read.parquet(f"{target}/t").orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [("1", "x", "y"), ("4", "two\nlines", "z")]
+    texts = {r["malformed_record"] for r in spark.read.parquet(f"{target}/malformed/t").collect()}
+    assert texts == {"2,x,3,EXTRA", "3,y"}
+
+
+def test_line_breaks_in_quotes_need_multi_line(spark, bad_csv, tmp_path):
+    report = load_catalog(spark, {"t": bad_csv}, str(tmp_path / "raw"))
+    assert report.errors == [("t", "4 malformed records")] and report.rows_by_table == {"t": 1}
+
+
+def test_preview_keeps_the_text(spark, tmp_path):
+    text = 'A,B\n"a ""q"" b",ACME   \n  x,"1,5"\n'
+    (tmp_path / "in.csv").write_text(text, encoding="utf-8")
+    write_preview(spark, str(tmp_path / "in.csv"), str(tmp_path / "preview"))
+    part = next((tmp_path / "preview").glob("part-*.csv"))
+    assert part.read_text(encoding="utf-8") == text
