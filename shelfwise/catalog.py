@@ -22,6 +22,12 @@ SLICERS = Slice(years=(2001,), months=(8, 9), abc_classes=("A",))
 # Parameter: rows per range of the queries that show ordering in many ranges.
 RANGE_OF_ROWS = 500
 
+# Slicers as a planner sets them: two stores in a month, some SKUs, two classes.
+STORES_IN_DECEMBER = Slice(stores=(3, 11), months=(12,))
+SOME_BRANDS = Slice(brands=(11, 12, 21, 33, 47))
+LOWER_CLASSES = Slice(years=(1999,), abc_classes=("B", "C"))
+STORES_IN_TWO_MONTHS = Slice(stores=(3, 11), months=(6, 12))
+
 GRAINS = {
     "total": [],
     "month": [measures.MONTH],
@@ -203,6 +209,7 @@ def _measure_jobs() -> dict[str, Job]:
     jobs = {key: _measure(grain, name) for key, (grain, name) in MEASURES.items()}
     jobs |= {key: _status(name) for key, name in STATUSES.items()}
     jobs["m10_inventory_turnover_ytd"] = measures.turnover_ytd
+    jobs["m10_stores_and_months"] = lambda w: measures.turnover_ytd(w, STORES_IN_TWO_MONTHS)
     jobs |= {f"measures_by_{grain}": _all_measures(grain) for grain in GRAINS}
     return dict(sorted(jobs.items()))
 
@@ -225,6 +232,10 @@ def _report_jobs() -> dict[str, Job]:
         "rpt14_replenish_matrix": reports.replenish_matrix,
         "rpt15_sku_detail": reports.sku_detail,
         "rpt16_filters": lambda w: reports.sliced_by_store(w, SLICERS),
+        "rpt16_stores_and_month": lambda w: reports.sliced_by_store(w, STORES_IN_DECEMBER),
+        "rpt16_brands": lambda w: reports.sliced_by_store(w, SOME_BRANDS),
+        "rpt16_classes_and_year": lambda w: reports.sliced_by_store(w, LOWER_CLASSES),
+        "rpt15_some_skus": lambda w: reports.sku_detail(w, SOME_BRANDS),
         "rpt17_inventory_growth": reports.inventory_growth,
         "rpt18_monthly_share": reports.monthly_share,
         "rpt19_store_revenue_rank": reports.store_revenue_rank,
@@ -258,6 +269,7 @@ def _measure_sql() -> dict[str, str]:
     sql = {k: one(g, [n], f"{n} IS NOT NULL") for k, (g, n) in MEASURES.items()}
     sql |= {k: one("product_store", [*ROW_MARKS, n], "TRUE") for k, n in STATUSES.items()}
     sql["m10_inventory_turnover_ytd"] = oracles.with_ctes(oracles.YTD_SQL)
+    sql["m10_stores_and_months"] = oracles.ytd_of_stores((3, 11), (6, 12))
     sql |= {f"measures_by_{g}": oracles.measures_sql(g) for g in GRAINS}
     return sql
 

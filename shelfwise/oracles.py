@@ -802,6 +802,16 @@ reorder_point_qty, current_stock_qty, reorder_alert FROM {product}
 WHERE total_sales_qty IS NOT NULL OR total_snapshot_records IS NOT NULL""",
         ),
         "rpt16_filters": with_ctes(SLICED_SQL),
+        "rpt16_stores_and_month": sliced_sql("month({d}) IN (12)", "d.store_number IN (3, 11)"),
+        "rpt16_brands": sliced_sql("TRUE", "p.brand IN (11, 12, 21, 33, 47)"),
+        "rpt16_classes_and_year": sliced_sql("year({d}) = 1999", "p.abc_class IN ('B', 'C')"),
+        "rpt15_some_skus": measures_sql(
+            "product",
+            f"""SELECT brand, grp AS abc_priority_group, avg_daily_sales_qty, safety_stock_qty,
+reorder_point_qty, current_stock_qty, reorder_alert FROM {product}
+WHERE brand IN (11, 12, 21, 33, 47)
+  AND (total_sales_qty IS NOT NULL OR total_snapshot_records IS NOT NULL)""",
+        ),
         "rpt17_inventory_growth": with_ctes(
             """SELECT CAST(b AS DECIMAL(28,4)) AS beginning_inventory_value,
 CAST(e AS DECIMAL(28,4)) AS ending_inventory_value, CAST(e - b AS DECIMAL(28,4)) AS inventory_growth,
@@ -931,3 +941,36 @@ WHERE p.abc_class = 'A' AND f.sales_date > (SELECT MAX(date_key) FROM dim_date
   AND f.sales_date <= (SELECT MAX(date_key) FROM dim_date
     WHERE year(date_key) = 2001 AND month(date_key) IN (8, 9))""",
 }
+
+
+def sliced_sql(dates: str, others: str) -> str:
+    """The figures of rpt16 under conditions on ``{d}``, a date, and on p, a product, or d, a store."""
+    joins = (
+        "LEFT JOIN dim_product p ON f.product_sk = p.product_sk "
+        "LEFT JOIN dim_store d ON f.store_sk = d.store_sk"
+    )
+    end = f"(SELECT MAX(date_key) FROM dim_date WHERE {dates.format(d='date_key')})"
+    stock_dates = (
+        "TRUE"
+        if dates == "TRUE"
+        else f"{dates.format(d='f.snapshot_date')} AND f.snapshot_date IN (SELECT date_key FROM dim_date)"
+    )
+    return with_ctes(
+        SLICED_SQL,
+        {
+            "sliced_sales": f"SELECT f.* FROM fact_sales f {joins} "
+            f"WHERE {dates.format(d='f.sales_date')} AND {others}",
+            "sliced_stock": f"SELECT f.* FROM fact_inventory_snapshot f {joins} "
+            f"WHERE {stock_dates} AND {others}",
+            "sliced_window": f"SELECT f.* FROM fact_sales f {joins} WHERE {others} "
+            f"AND f.sales_date > {end} - INTERVAL 90 DAY AND f.sales_date <= {end}",
+        },
+    )
+
+
+def ytd_of_stores(stores: tuple[int, ...], months: tuple[int, ...]) -> str:
+    """Year to date of some stores, shown for some months of each year."""
+    of = f"(SELECT store_sk FROM dim_store WHERE store_number IN {stores})"
+    sql = YTD_SQL.replace("WHERE f.sales_date", f"WHERE f.store_sk IN {of} AND f.sales_date")
+    sql = sql.replace("WHERE i.snapshot_type", f"WHERE i.store_sk IN {of} AND i.snapshot_type")
+    return with_ctes(f"SELECT * FROM ({sql}) WHERE CAST(right(year_month, 2) AS INTEGER) IN {months}")

@@ -287,9 +287,9 @@ def sliced_by_store(w: Warehouse, where: Slice) -> DataFrame:
     return _by_store(w, names, where).orderBy("store_number")
 
 
-def inventory_growth(w: Warehouse) -> DataFrame:
+def inventory_growth(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     beg, end = F.col("beg"), F.col("end")
-    return kpis.inventory_values(w.table("fact_inventory_snapshot")).select(
+    return kpis.inventory_values(Context(w, [], where).snapshot()).select(
         beg.alias("beginning_inventory_value"),
         end.alias("ending_inventory_value"),
         (end - beg).cast("decimal(28,4)").alias("inventory_growth"),
@@ -377,15 +377,14 @@ def bottom_c_class(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     return slow.join(lately, PRODUCT, "left_anti").select("brand", "total_revenue", "velocity_rank")
 
 
-def dead_stock_clearance(w: Warehouse) -> DataFrame:
+def dead_stock_clearance(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     """Stock of pairs that never sold, in clearing order. For class A and B goods, how
     many other stores sell the SKU and which sells most: one row per SKU is joined,
     not one per pair of stores."""
-    dead = kpis.unsold_flagged(
-        w.table("fact_sales"), w.table("fact_inventory_snapshot")
-    ).filter(F.col("sold").isNull() & (F.col("end_qty") > 0))
+    ctx = Context(w, [], where)
+    dead = kpis.unsold_flagged(ctx.sales(), ctx.snapshot()).filter(F.col("sold").isNull() & (F.col("end_qty") > 0))
     sold_at = (
-        w.table("fact_sales")
+        ctx.sales()
         .groupBy(PRODUCT, STORE)
         .agg(F.sum("sales_quantity").alias("qty"))
         .join(_store_numbers(w), STORE)
