@@ -45,6 +45,7 @@ LAYERS = {
         "dim_store",
         "product_base",
         "fact_sales",
+        "daily_sales",
         "fact_inventory_snapshot",
         "abc_running_total",
         "dim_product",

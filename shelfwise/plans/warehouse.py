@@ -17,7 +17,11 @@ from shelfwise.sources.schemas import RAW_TABLES
 
 _opened: dict[tuple[str, str], "Warehouse"] = {}
 
-PARTITION = {"fact_sales": "sales_month", "fact_inventory_snapshot": "snapshot_type"}
+PARTITION = {
+    "fact_sales": "sales_month",
+    "daily_sales": "sales_month",
+    "fact_inventory_snapshot": "snapshot_type",
+}
 
 
 class Warehouse:
@@ -120,6 +124,8 @@ class Warehouse:
             return marts.fact_sales(
                 t("stg_sales"), t("product_base"), t("dim_store"), t("dim_vendor")
             )
+        if name == "daily_sales":
+            return marts.daily_sales(t("fact_sales"))
         if name == "fact_inventory_snapshot":
             return marts.fact_inventory_snapshot(
                 t("stg_beg_inventory"), t("stg_end_inventory"), t("product_base"), t("dim_store")

@@ -18,7 +18,7 @@ def w(spark, raw, tmp_path_factory):
 
 
 def by_pair(w, names, **options):
-    found = evaluate(w, [PRODUCT, STORE], names, known_only=True, **options).collect()
+    found = evaluate(w, [PRODUCT, STORE], names, **options).filter(F.col(PRODUCT).isNotNull()).collect()
     return {(r[STORE], 10 * r[PRODUCT]): r for r in found}
 
 
@@ -95,11 +95,11 @@ def test_alert_limits(spark):
 
 
 def test_alerts_take_the_most_urgent_store(w):
-    got = {10 * r[PRODUCT]: r.reorder_alert for r in evaluate(w, [PRODUCT], ["reorder_alert"], known_only=True).collect()}
+    got = {10 * r[PRODUCT]: r.reorder_alert for r in evaluate(w, [PRODUCT], ["reorder_alert"]).filter(F.col(PRODUCT).isNotNull()).collect()}
     # brand 10 is empty in store 1; brand 30 has no stock record, so no alert at all;
     # brand 40 never sold, so its point is unknown
     assert got == {10: "Out of Stock", 20: "Out of Stock", 30: None, 40: "OK", 50: None}
-    sort = {10 * r[PRODUCT]: r.reorder_alert_sort for r in evaluate(w, [PRODUCT], ["reorder_alert_sort"], known_only=True).collect()}
+    sort = {10 * r[PRODUCT]: r.reorder_alert_sort for r in evaluate(w, [PRODUCT], ["reorder_alert_sort"]).filter(F.col(PRODUCT).isNotNull()).collect()}
     assert sort[10] == 1 and sort[30] == 5
 
 
@@ -133,12 +133,36 @@ def test_unknown_grain_is_refused(w):
 
 
 def test_report_order(w):
-    got = [(r.store_number, r.brand) for r in reports.risk_detail(w).collect()]
+    got = [(r.store_number, r.brand) for r in reports.risk_detail(w).collect() if r.brand]
     assert got == [(1, 20), (1, 30), (1, 10), (2, 10), (2, 40), (2, 20), (3, 50)]
     alerts = [r.reorder_alert_sort for r in reports.replenish_matrix(w).collect()]
     assert alerts == sorted(alerts)
-    clearance = reports.dead_stock_clearance(w).collect()
-    assert clearance == []  # every known product in stock has sold in its store
+    # every known product in stock has sold in its store; what is unknown is cleared too
+    assert all(r.brand is None for r in reports.dead_stock_clearance(w).collect())
+
+
+def test_product_rows_add_up_to_the_total(w):
+    names = ["total_revenue", "total_cogs", "ending_inventory_value", "total_snapshot_records"]
+    rows = evaluate(w, [PRODUCT], names).collect()
+    total = evaluate(w, [], names).first()
+    assert any(r[PRODUCT] is None for r in rows)
+    for n in names:
+        assert sum(r[n] for r in rows if r[n] is not None) == total[n]
+
+
+def test_year_to_date_counts_months_that_are_not_shown(w):
+    whole = {r[MONTH]: r for r in measures.turnover_ytd(w).collect()}
+    shown = measures.turnover_ytd(w, Slice(months=(12,))).collect()
+    assert [r[MONTH] for r in shown] == ["2016-12"] and shown[0] == whole["2016-12"]
+
+
+def test_days_and_single_sales_give_the_same(w):
+    every_vendor = tuple(r[0] for r in w.table("dim_vendor").select("vendor_number").collect())
+    names = ["total_revenue", "total_sales_qty", "total_cogs", *measures.DAILY]
+    sold = F.col("total_sales_qty").isNotNull() & F.col(PRODUCT).isNotNull()
+    by_day = evaluate(w, [PRODUCT, STORE], names).filter(sold)
+    single = evaluate(w, [PRODUCT, STORE], names, Slice(vendors=every_vendor)).filter(sold)
+    assert sorted(map(tuple, by_day.collect())) == sorted(map(tuple, single.collect()))
 
 
 def test_quadrants(spark):

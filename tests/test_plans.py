@@ -26,8 +26,8 @@ def queries():
 
 def test_scans_read_only_what_is_used(spark, plan, queries):
     text = plan(queries["m01_total_revenue"](spark, SMALL))
-    assert "ReadSchema: struct<sales_dollars:decimal(12,2),store_sk:bigint>" in text or (
-        "ReadSchema: struct<store_sk:bigint,sales_dollars:decimal(12,2)>" in text
+    assert "ReadSchema: struct<sales_dollars:decimal(22,2),store_sk:bigint>" in text or (
+        "ReadSchema: struct<store_sk:bigint,sales_dollars:decimal(22,2)>" in text
     )
 
 
