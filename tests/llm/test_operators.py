@@ -412,6 +412,46 @@ def test_lines_like_all_pairs(spark):
     assert got == plain_kept(rows)
 
 
+def true_similarity(a, b):
+    """Jaccard similarity of the sets of 5 code points from each position; shorter texts whole."""
+    x, y = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def kept_of_all_pairs(texts):
+    """Places of the lines that stay of one document with these different lines."""
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if true_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_lines_shingle_every_character(spark):
+    """One character changed in long words, in lines without spaces, in other scripts."""
+    words_ = "an incomprehensibly intergovernmental counterrevolutionary misunderstanding here"
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    astral = "".join(chr(0x1F300 + i) for i in range(60))
+    tabbed = "\t".join(f"column{i}value" for i in range(9))
+    url = "https://example.org/archive/2024/some-rather-long-path/with/parts?query=none&more=yes"
+    texts = []
+    for t in (words_, han, astral, tabbed, url):
+        texts += [t, t[:20] + "q" + t[21:], t[::-1]]
+    texts += ["abcd", "abce", "abcde"]
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    kept = lines.deduplicate_lines(docs).first()["kept"]
+    assert kept == kept_of_all_pairs(texts)
+    assert all(k in kept and k + 1 not in kept for k in range(0, 15, 3))
+
+
 def test_lines_rows(spark, docs):
     found = lines.deduplicate_lines(docs).collect()
     assert len(found) == docs.count()
