@@ -452,6 +452,41 @@ def test_lines_shingle_every_character(spark):
     assert all(k in kept and k + 1 not in kept for k in range(0, 15, 3))
 
 
+def test_lines_of_few_shingles_all_meet(spark):
+    """Short lines of every size that gain or change characters, down to a similarity of 0.8."""
+    rng = np.random.default_rng(11)
+    texts = {"the full privacy policy", "see the full privacy policy", "abcdefgh", "abcdefghi"}
+    for size in range(8, 90):
+        base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size))
+        longest = (size - 4) // 4
+        texts |= {base, "".join(rng.choice(list("0123456789"), longest)) + base}
+        if size >= 49:
+            texts.add(base[:20] + "#" + base[21:])
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    kept = lines.deduplicate_lines(docs).first()["kept"]
+    assert kept == kept_of_all_pairs(texts)
+    assert len(kept) < len(texts) - 70
+
+
+def test_sets_of_few_shingles_share_a_key(spark):
+    """Random sets at the least similarity; the smaller has at most ``SHORT`` hashes."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for pair in range(1500):
+        differ = int(rng.integers(1, 17))
+        common = 4 * differ
+        union = rng.integers(-(2**63), 2**63, common + differ, dtype=np.int64).tolist()
+        own = int(rng.integers(0, differ + 1)) if common + differ <= lines.SHORT else 0
+        rows.append((2 * pair, union[: common + own]))
+        rows.append((2 * pair + 1, union[:common] + union[common + own :]))
+    sets = spark.createDataFrame(rows, "id long, hashes array<long>")
+    keys = lines.banded(sets).select(F.expr("id div 2").alias("pair"), "id", "key").distinct()
+    met = keys.groupBy("pair", "key").count().where("count = 2").select("pair").distinct().count()
+    assert met == 1500
+
+
 def test_lines_rows(spark, docs):
     found = lines.deduplicate_lines(docs).collect()
     assert len(found) == docs.count()
