@@ -6,8 +6,11 @@ left, so that differences cancel. Groups are blocked by hash, differenced block
 parallel, and each block leaves one partial partition. These are differenced in turn, level by
 level, until one remains: no task holds more than ``BLOCK`` partial partitions.
 
-Rows of a group stay together unless the group is larger than ``MAX_PART`` of a fair shard, which
-also bounds how far apart the shards can end: then
+Blocks that are balanced in themselves cannot make up for a large group elsewhere. If there are more
+groups than one block holds and some of them are large, the others are bundled by hash, and the
+large groups and the bundles, ``BLOCK`` at most, are differenced as one block.
+
+Rows of a group stay together unless the group is larger than a fair shard and so fits none: then
 it is cut into pieces by the hash of the id. Null sizes count 0; null groups are one group;
 repeated rows are placed one by one (in the same piece). An empty table gives no rows.
 """
@@ -25,7 +28,6 @@ from shelfwise.llm.common import table, written
 
 SHARDS = 16
 BLOCK = 4096
-MAX_PART = 1 / 64
 ROWS_PER_SLOT_RANGE = 50_000
 
 
@@ -91,6 +93,18 @@ def _difference_blocks(shards: int):
 
 def place_groups(items: DataFrame, shards: int, n_items: int, block: int = BLOCK) -> DataFrame:
     """``item, shard`` for ``items`` (``item`` string, ``bytes``)."""
+    if n_items > block:
+        half = max(1, block // 2)  # at most so many groups are large, and so many bundles hold the rest
+        total, largest = items.agg(F.sum("bytes"), F.max("bytes")).first()
+        if largest > total / half:
+            # the root makes bundles of all sizes from small to twice the mean: small ones fill gaps
+            place = F.sqrt(F.xxhash64("item") / F.lit(2.0**64) + 0.5)
+            bundle = F.floor(F.least(place * half, F.lit(half - 1))).cast("string")
+            unit = F.when(F.col("bytes") > total / half, F.concat(F.lit("group "), "item"))
+            items = items.withColumn("unit", unit.otherwise(F.concat(F.lit("bundle "), bundle)))
+            units = items.groupBy(F.col("unit").alias("item")).agg(F.sum("bytes").alias("bytes"))
+            placed = place_groups(units, shards, block, block).withColumnRenamed("item", "unit")
+            return items.join(placed, "unit").select("item", "shard")
     blocks = max(1, math.ceil(n_items / block))
     items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     placed = written(
@@ -149,10 +163,10 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK) -
         ),
         "shard-sizes",
     )
-    n, limit = seen.get["rows"], max(1.0, MAX_PART * seen.get["bytes"] / shards)
+    n, limit = seen.get["rows"], max(1.0, seen.get["bytes"] / shards)
     grp = F.coalesce(F.col("grp").cast("string"), F.lit("null"))
     own = own.withColumn("item", grp)
-    # a group beyond the limit is cut; there are at most shards / MAX_PART such groups
+    # a group beyond the limit is cut; there are fewer than ``shards`` such groups
     large = own.groupBy("item").agg(F.sum("size").alias("b")).where(F.col("b") > limit)
     pieces = large.select("item", F.ceil(F.col("b") / limit).alias("pieces"))
     own = own.join(pieces, "item", "left").withColumn(
@@ -174,7 +188,8 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK) -
 
 
 def op4_sharding(spark, sf_dir):
-    """All ``documents`` in 16 shards of nearly equal bytes, equal texts together."""
+    """All ``documents`` in 16 shards of nearly equal bytes, equal texts together unless their bytes
+    exceed a fair shard."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",

@@ -277,6 +277,23 @@ def test_shards_in_levels_with_a_hot_group(spark):
     assert (got[got["grp"] != "hot"].groupby("grp")["shard"].nunique() == 1).all()
 
 
+def test_groups_that_fit_stay_whole(spark):
+    """Groups of 0.2% to 6% of all bytes beside many small ones; only one beyond a fair shard is cut."""
+    rows = [(i, i % 97 + 1, f"g{i}") for i in range(4000)]
+    for name, n in (("a", 60), ("b", 30), ("c", 200), ("d", 190), ("e", 4), ("beyond", 900)):
+        rows += [(len(rows) + k, 100, name) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, grp string")
+    got = sharding.balanced_shards(df, block=1024).toPandas()
+    assert len(got) == len(rows)
+    fair = got["size"].sum() / sharding.SHARDS
+    spread = got.groupby("grp")["shard"].nunique()
+    sizes = got.groupby("grp")["size"].sum()
+    assert (sizes[["a", "b", "c", "d"]] > fair / 64).all() and sizes["beyond"] > fair
+    assert (spread[sizes <= fair] == 1).all() and spread["beyond"] > 1
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == sharding.SHARDS and sums.max() - sums.min() < 0.01 * fair
+
+
 def test_shard_query(spark, docs, tmp_path):
     got = catalog.queries()["op4_sharding"](spark, cases.saved(spark, tmp_path, documents=docs)).collect()
     assert len(got) == docs.count()
