@@ -11,13 +11,15 @@ lists the stretches of code points that hold assistant texts, marks excluded.
 
 Null roles and texts are empty; null scores count 0; a null tree is a tree of its own. A message
 whose parent is not in its tree is a root. Messages that only reach each other in a ring have no
-root and are left out. Ids must be unique in a tree. An empty table gives no rows.
+root and are left out, as are those below them; ``conversations`` warns of them and
+``ring_messages`` lists them. Ids must be unique in a tree. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,8 +46,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Per round k the ancestors 2^k steps up (``tree, id, up``), and ``tree, id, depth, total``.
+def keyed_trees(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``tree`` as text that is never null, and the tree itself as ``own_tree``."""
+    key = F.concat(F.lit("#"), F.col("tree").cast("string"))
+    return messages.withColumn("own_tree", F.col("tree")).withColumn("tree", F.coalesce(key, F.lit("")))
+
+
+def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Per round k the ancestors 2^k steps up (``tree, id, up``), ``tree, id, depth, total`` of the
+    messages with a root, and ``tree, id`` of those without.
 
     ``messages`` has ``tree, id, parent, score``.
     """
@@ -84,13 +93,25 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         state = written(moved.unionByName(state.where("up is null")), "chat-round")
         steps *= 2
     # what still has an ancestor goes round in a ring
-    return out, state.where("up is null").select("tree", "id", "depth", "total")
+    rings = state.where("up is not null").select("tree", "id")
+    return out, state.where("up is null").select("tree", "id", "depth", "total"), rings
+
+
+def ring_messages(messages: DataFrame) -> DataFrame:
+    """``tree, id`` of the ``messages`` in or below a ring of parents, which no conversation holds."""
+    keyed = keyed_trees(messages)
+    _, _, rings = jumps(keyed.select("tree", "id", "parent", F.lit(0.0).alias("score")))
+    return rings.join(keyed.select("tree", "id", "own_tree"), ["tree", "id"]).select(
+        F.col("own_tree").alias("tree"), "id"
+    )
 
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``tree, leaf, id, place`` for each message of the best paths; places count from 1."""
     messages = messages.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
-    up, ends = jumps(messages.select("tree", "id", "parent", "score"))
+    up, ends, rings = jumps(messages.select("tree", "id", "parent", "score"))
+    if not rings.isEmpty():
+        warnings.warn("messages in or below a ring of parents are left out, see ring_messages", stacklevel=3)
     parents = messages.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     leaves = ends.join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")
@@ -107,12 +128,15 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``tree, leaf, formatted, mask`` for the chosen paths of ``messages``
     (``tree, id, parent, role, text, score``); ``mask`` lists ``begin`` and ``end``."""
+    messages = keyed_trees(messages)
     # ids are unique in a tree, so each place meets one message
-    spoken = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), "text")
+    role = F.coalesce("role", F.lit("")).alias("role")
+    spoken = messages.select("tree", "own_tree", "id", role, "text")
     turns = chosen_paths(messages, branches).join(spoken, ["tree", "id"])
     role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n"))
     turns = turns.select(
         "tree",
+        "own_tree",
         "leaf",
         "place",
         "role",
@@ -125,10 +149,12 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     turns = turns.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("body"))
     span = F.when(F.col("role") == LOSS_ROLE, F.struct("begin", "end"))
     ordered = F.array_sort(F.collect_list(F.struct("place", "turn")))
-    return turns.groupBy("tree", "leaf").agg(
+    told = turns.groupBy("tree", "leaf").agg(
+        F.first("own_tree").alias("own_tree"),
         F.array_join(F.transform(ordered, lambda t: t["turn"]), "").alias("formatted"),
         F.array_sort(F.collect_list(span)).alias("mask"),
     )
+    return told.select(F.col("own_tree").alias("tree"), "leaf", "formatted", "mask")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:

@@ -574,6 +574,32 @@ def test_best_branch_of_each_tree(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_null_tree_and_rings(spark):
+    rows = [
+        (None, 1, None, "user", "asked", 1.0),
+        (None, 2, 1, "assistant", "answered", 1.0),
+        (None, 5, 6, "user", "ring", 1.0),
+        (None, 6, 5, "user", "ring", 1.0),
+        ("", 1, None, "user", "empty name", 1.0),
+        ("#", 1, None, "user", "mark", 1.0),
+        ("r", 1, 2, "user", "ring", 1.0),
+        ("r", 2, 1, "user", "ring", 1.0),
+        ("r", 3, 2, "user", "below", 1.0),
+        ("r", 4, None, "user", "beside", 1.0),
+    ]
+    df = spark.createDataFrame(rows, MESSAGES)
+    with pytest.warns(UserWarning, match="ring"):
+        out = chat.conversations(df).collect()
+    assert {r["tree"]: chat.read_back(r["formatted"]) for r in out} == {
+        None: [("user", "asked"), ("assistant", "answered")],
+        "": [("user", "empty name")],
+        "#": [("user", "mark")],
+        "r": [("user", "beside")],
+    }
+    ringed = {(r["tree"], r["id"]) for r in chat.ring_messages(df).collect()}
+    assert ringed == {(None, 5), (None, 6), ("r", 1), ("r", 2), ("r", 3)}
+
+
 def test_deep_chain(spark):
     rows = [("t", i, i - 1 if i else None, "user", str(i), 1.0) for i in range(300)]
     out = chat.conversations(spark.createDataFrame(rows, MESSAGES)).first()
