@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
-Language ID drops documents without a language, line dedup keeps the first of near-equal lines,
+Language ID drops documents without a language and writes the language found into ``lang``, line dedup keeps the first of near-equal lines,
 SimHash keeps one document of each near-duplicate group, mixing repeats or leaves out documents
 until the sources have their target weights, and BPE encodes what is left. Each stage's result is
 written and read back before the next one begins; what a stage wrote for itself goes then.
@@ -19,7 +19,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told; ``lang`` is the one found, not the label."""
     drop_cuts(spark, "llm-")
     return language.with_language(docs)
 

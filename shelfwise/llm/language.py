@@ -225,10 +225,17 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, text: Column) -> Co
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, learned from their own labels."""
+    """The documents whose language can be told, learned from their own labels.
+
+    ``lang`` is the language found, whatever the label was: a null label is filled and a differing
+    one replaced.
+    """
     held_out = id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT
-    found = identify_languages(docs, docs.where(~held_out).select("lang", "text"), F.col("text"))
-    return docs.where(found["lang"] != UNDETERMINED)
+    model = train(sample_texts(docs.where(~held_out).select("lang", "text")))
+    # not deterministic in name only: else the filter would identify every text a second time
+    identify = identifier(docs.sparkSession, model).asNondeterministic()
+    found = docs.withColumn("_found", identify("text")).where(F.col("_found.lang") != UNDETERMINED)
+    return found.withColumn("lang", F.col("_found.lang")).select(*docs.columns)
 
 
 def op7_language(spark, sf_dir):

@@ -214,6 +214,21 @@ def test_language_rows(spark, docs):
     assert language.predict(none, ["text"], none.symbol_table()) == (["und"], [0.0])
 
 
+def test_stage_writes_the_language_found(spark):
+    english, german = "the dog and the cat are here with them", "der hund und die katze sind hier bei ihnen"
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % language.FOLDS == language.HELD_OUT]
+    other = [i for i in range(200) if i not in held]
+    rows = [(i, f"{english} {i}", "en", 1) for i in other[:20]] + [(i, f"{german} {i}", "de", 1) for i in other[20:40]]
+    rows += [(held[0], german, "en", 1), (held[1], english, None, 1), (other[40], german, None, 1)]
+    rows += [(held[2], "12 34", "en", 1), (held[3], None, "de", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    out = language.with_language(docs)
+    found = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert out.columns == docs.columns and len(found) == 43
+    assert (found[held[0]], found[held[1]], found[other[40]]) == ("de", "en", "de")
+    assert all(found[i] == label for i, _, label, _ in rows[:40])
+
+
 def test_language_held_out_accuracy(spark):
     rows = language.op7_language(spark, "/root/testdata/sf0.01").where("held_out")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
