@@ -54,12 +54,16 @@ def write_and_read(df: DataFrame, path: str, partition_by: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """A one-off written copy of an intermediate result; ``drop_cuts`` removes it."""
-    spark = df.sparkSession
+def new_place(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; ``drop_cuts`` removes what is put there."""
     path = f"{shared_dir(spark)}/cuts/{label}-{uuid.uuid4().hex[:12]}"
     _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return write_and_read(df, path)
+    return path
+
+
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """A one-off written copy of an intermediate result; ``drop_cuts`` removes it."""
+    return write_and_read(df, new_place(df.sparkSession, label))
 
 
 def cuts_so_far(spark: SparkSession) -> int:
