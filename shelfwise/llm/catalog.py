@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, chat, fingerprints, language, lines, mixing, planes, quality, sharding, simhash, toxicity
+from shelfwise.llm import bpe, chat, collocations, fingerprints, language, lines, mixing, planes, quality, sharding, simhash, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op12_planes": planes.op12_planes,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
