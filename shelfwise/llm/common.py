@@ -12,9 +12,12 @@ from shelfwise.session import cut_lineage
 # The six ASCII blanks that end a word, everything else belongs to one.
 BLANKS = " \t\n\x0b\f\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers get batches bounded in bytes, not only in rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

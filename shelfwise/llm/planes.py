@@ -27,10 +27,12 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -45,7 +47,7 @@ from pyspark.sql.datasource import (
 )
 from tokenizers import Tokenizer
 
-from shelfwise.llm.common import Remembered, table
+from shelfwise.llm.common import table
 from shelfwise.session import new_place
 
 MAGIC = b"IDPLANE1"
@@ -334,22 +336,24 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 # -- encoding -------------------------------------------------------------------------
 
-WORDS_KEPT, PIECES_KEPT = 600_000, 400_000
-BATCH_CHARS, SEGMENT = 1_000_000, 1_000_000
+PIECES_KEPT = 800_000
+BATCH_CHARS, SEGMENT = 4_000_000, 1_000_000
 WORDS_AT_ONCE = 4000
 _CUT = re.compile(r"(?=[ \n][\w!-~])")  # no token crosses the place before such a blank
-_OTHER = re.compile(r"[ \n](?![\w!-~])")
 _SIMPLE = re.compile(r"[ -~\nÀ-ÿ]*")
 # Fixed value: the byte-level word pattern, for characters that _SIMPLE allows
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+# a blank, full stop or comma (or the mark _pieces uses) at which a text must not simply be cut
+_ODD = re.compile(rf"[ \n.,\0](?:(?<=[ \n])(?![\w!-~])|(?<=[.,])(?<![{_L}0-9][.,])|(?<=\0))")
 
 
 class PieceEncoder:
-    """The ids that the library gives, with the ids of pieces and words remembered.
+    """The ids that the library gives, with the ids of pieces of text remembered.
 
-    A text is cut before single blanks, where no token crosses; a piece that is new is cut by the
-    word pattern, and only new words go to the library, many at a time on lines of their own.
+    A text is cut at single blanks and after words, where no token crosses; a piece that is new is
+    cut by the word pattern, and only new words go to the library, many at a time on lines of their
+    own. What does not fit the simple rules goes to the library in larger pieces or whole.
     """
 
     def __init__(self, text: str):
@@ -360,44 +364,44 @@ class PieceEncoder:
         file = json.loads(text)
         self.special = [t["content"] for t in file["added_tokens"]]
         steps = file["pre_tokenizer"]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0]
         self.plain = (
             file["normalizer"] is None
             and steps["type"] == "ByteLevel"
             and steps["use_regex"]
             and not steps["add_prefix_space"]
+            and len(line) == 1
         )
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.plain &= len(line) == 1
-        self.line = line[0]
-        self.words, self.pieces = Remembered(WORDS_KEPT), Remembered(PIECES_KEPT)
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in coded]
 
     def _learn_words(self, words: list[str]) -> None:
-        known = self.words.young
         blank = [w for w in words if not w.strip()]
-        known.update(zip(blank, self._library(blank), strict=True))
+        self.known.update(zip(blank, self._library(blank), strict=True))
         lines = [w for w in words if w.strip()]
         for at in range(0, len(lines), WORDS_AT_ONCE):
             part = lines[at : at + WORDS_AT_ONCE]
-            ids = np.frombuffer(self._library(["\n".join(part)])[0], dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
-            packed, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                known[word] = packed[begin * 4 : end * 4]
-                begin = end + 1
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces, with their leading blanks."""
-        split = {p: _WORD.findall(p) for p in pieces if _SIMPLE.fullmatch(p)}
-        self._learn_words(self.words.missing({w for words in split.values() for w in words}))
-        known = self.words.young
-        out = {p: b"".join([known[w] for w in words]) for p, words in split.items()}
-        rest = [p for p in pieces if p not in split]
-        out.update(zip(rest, self._library(rest), strict=True))
-        return out
+            packed = self._library(["\n".join(part)])[0]
+            ends = np.flatnonzero(np.frombuffer(packed, dtype="<u4") == self.line) * 4
+            begins = [0, *(ends + 4).tolist()]
+            coded = [packed[a:b] for a, b in zip(begins, [*ends.tolist(), len(packed)], strict=True)]
+            self.known.update(zip(part, coded, strict=True))
+
+    def _learn(self, pieces: list[str], make_room: bool = True) -> None:
+        if make_room and len(self.known) + len(pieces) > PIECES_KEPT:  # the older half goes
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        known = self.known
+        rest = [p for p in pieces if not _SIMPLE.fullmatch(p)]
+        known.update(zip(rest, self._library(rest), strict=True))
+        split = {p: words for p in pieces if len(words := _WORD.findall(p)) > 1 and p not in known}
+        words = {w for several in split.values() for w in several} | {p for p in pieces if p not in split}
+        self._learn_words([w for w in words if w not in known])
+        for p, several in split.items():
+            known[p] = b"".join([known[w] for w in several])
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
@@ -406,33 +410,45 @@ class PieceEncoder:
             at = cut.start()
         yield text[at:]
 
+    def _marked(self, segment: str) -> str:
+        """The segment with a mark at each cut."""
+        if _ODD.search(segment):
+            return "\0".join(_CUT.split(segment))
+        return segment.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; ``texts`` of ``BATCH_CHARS`` or so."""
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, str, list[str]]] = []
+        out: list[bytes] = [b""] * len(texts)
+        owner: list[int] = []
+        marked: list[str] = []
         for i, text in enumerate(texts):
-            if not self.plain or any(s in text for s in self.special):
+            if not self.plain or "\0" in text or any(s in text for s in self.special):
                 out[i] = self._library([text])[0]
                 continue
             for segment in self._segments(text):
-                # all but the first piece begin with a blank; a space is left out of what is kept
-                if _OTHER.search(segment):
-                    first, *rest = _CUT.split(segment)
-                    rest = [p[1:] if p[0] == " " else p for p in rest]
-                else:
-                    first, *rest = segment.replace("\n", " \n").split(" ")
-                parts.append((i, first, rest))
-        new = self.pieces.missing({p for _, _, rest in parts for p in rest})
-        named = {p: p if p[:1] == "\n" else " " + p for p in new}
-        firsts = {f for _, f, _ in parts}
-        coded = self._learn([*{*named.values()} | firsts])
-        known = self.pieces.young
-        known.update((p, coded[q]) for p, q in named.items())
-        pending: dict[int, list[bytes]] = {}
-        for i, first, rest in parts:
-            pending.setdefault(i, []).append(coded[first] + b"".join(map(known.__getitem__, rest)))
-        for i, done in pending.items():
-            out[i] = done[0] if len(done) == 1 else b"".join(done)
+                owner.append(i)
+                marked.append(self._marked(segment))
+        if not owner:
+            return out
+        cut = pc.split_pattern(pa.array(marked, type=pa.string()), "\0")
+        pieces = cut.values.dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        self._learn([p for p in names if p not in self.known])
+        found = list(map(self.known.get, names))
+        if None in found:  # known until older pieces made room just now
+            self._learn([p for p, f in zip(names, found, strict=True) if f is None], make_room=False)
+            found = list(map(self.known.__getitem__, names))
+        # copy each piece's ids to the places of its occurrences, all at once
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begin = np.cumsum(size) - size
+        code = pieces.indices.to_numpy()
+        ends = np.cumsum(size[code])
+        shift = begin[code] - (ends - size[code])
+        flat = ids[np.repeat(shift, size[code]) + np.arange(ends[-1])].tobytes()
+        bounds = np.append(0, ends)[cut.offsets.to_numpy()] * 4
+        for i, a, b in zip(owner, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = out[i] + flat[a:b] if out[i] else flat[a:b]
         return out
 
 
