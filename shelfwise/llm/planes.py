@@ -6,7 +6,8 @@ zstandard on its own. A file ends with its chunk index (place and plane sizes of
 its document table (ids and lengths), so any span of ids can be read without the rest.
 
 ``df.write.format("idplanes").save(path)`` takes ``doc_id long, ids binary`` (little-endian
-unsigned 32-bit ids) in the order of partitions and rows, and ``spark.read.format("idplanes")``
+unsigned 32-bit ids), or with a tokenizer ``doc_id long, text string``, in the order of partitions
+and rows, and ``spark.read.format("idplanes")``
 gives ``doc_id, start, ids`` back, ``start`` counting the ids of all documents before. Tasks
 write files of their own names; the job's commit writes ``_index.json``, which alone makes files
 count, so retried and lost tasks leave nothing that a reader sees. Tasks and index are written
@@ -27,10 +28,8 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -207,12 +206,31 @@ class Written(WriterCommitMessage):
 
 
 class IdPlanesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, kind: str, file_ids: int, overwrite: bool):
-        self.path, self.kind, self.file_ids = path, kind, file_ids
+    def __init__(self, path: str, kind: str, file_ids: int, overwrite: bool, tokenizer: str | None, end: bytes):
+        """With ``tokenizer``, the text of its file, the second column is text to be encoded."""
+        self.path, self.kind, self.file_ids, self.tokenizer, self.end = path, kind, file_ids, tokenizer, end
         system, root = place_of(path)
         if not overwrite and system.get_file_info(f"{root}/{INDEX}").type != fs.FileType.NotFound:
             raise ValueError(f"{path} holds id planes already")
 
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """Ids of each document; texts are encoded some ``BATCH_CHARS`` at a time."""
+        own = encoder_of(self.tokenizer) if self.tokenizer else None
+        docs, texts, chars = [], [], 0
+        for batch in batches:
+            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own is None:
+                    yield doc_id, (cell or b"") + self.end
+                    continue
+                docs.append(doc_id)
+                texts.append(cell or "")
+                chars += len(texts[-1])
+                if chars >= BATCH_CHARS:
+                    yield from zip(docs, (b + self.end for b in own.encode(texts)), strict=True)
+                    docs, texts, chars = [], [], 0
+        if texts:
+            yield from zip(docs, (b + self.end for b in own.encode(texts)), strict=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = place_of(self.path)
         system.create_dir(root, recursive=True)
@@ -223,15 +241,14 @@ class IdPlanesWriter(DataSourceArrowWriter):
             writer.close()
             files.append({"name": name, "ids": writer.n_ids, "docs": len(writer.doc_ids)})
 
-        for batch in iterator:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if writer is None:
-                    name = f"part-{partition:05}-{len(files):05}-{uuid.uuid4().hex[:12]}.idp"
-                    writer = PlaneWriter(system.open_output_stream(f"{root}/{name}"), self.kind)
-                writer.add(doc_id, ids or b"")
-                if writer.n_ids >= self.file_ids:
-                    close()
-                    writer = None
+        for doc_id, ids in self.rows(iterator):
+            if writer is None:
+                name = f"part-{partition:05}-{len(files):05}-{uuid.uuid4().hex[:12]}.idp"
+                writer = PlaneWriter(system.open_output_stream(f"{root}/{name}"), self.kind)
+            writer.add(doc_id, ids)
+            if writer.n_ids >= self.file_ids:
+                close()
+                writer = None
         if writer is not None:
             close()
         return Written(partition, files)
@@ -299,7 +316,8 @@ class IdPlanesReader(DataSourceReader):
 
 class IdPlanes(DataSource):
     """Options: ``path``; ``planes`` = ``bytes`` or ``bits``; ``file_ids``, ids after which a new
-    file begins."""
+    file begins; ``tokenizer``, a file of the ``tokenizers`` library, if texts are written instead of
+    ids (read here, on the driver); ``end_id``, put after each document."""
 
     @classmethod
     def name(cls) -> str:
@@ -312,20 +330,42 @@ class IdPlanes(DataSource):
         return IdPlanesReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> IdPlanesWriter:
-        if [f.dataType.simpleString() for f in schema.fields] != ["bigint", "binary"]:
-            raise ValueError("id planes take doc_id long, ids binary")
-        kind = self.options.get("planes", "bytes")
+        own, tokenizer = self.options, None
+        if "tokenizer" in own:
+            with open(own["tokenizer"], encoding="utf-8") as f:
+                tokenizer = f.read()
+        kinds = [f.dataType.simpleString() for f in schema.fields]
+        if kinds != ["bigint", "string" if tokenizer else "binary"]:
+            raise ValueError("id planes take doc_id long and ids binary, or text string with a tokenizer")
+        kind = own.get("planes", "bytes")
         if kind not in ("bytes", "bits"):
             raise ValueError(f"planes must be bytes or bits, not {kind}")
-        return IdPlanesWriter(self.options["path"], kind, int(self.options.get("file_ids", FILE_IDS)), overwrite)
+        end = struct.pack("<I", int(own["end_id"])) if "end_id" in own else b""
+        return IdPlanesWriter(own["path"], kind, int(own.get("file_ids", FILE_IDS)), overwrite, tokenizer, end)
+
+
+def _write(rows: DataFrame, path: str, options: dict) -> None:
+    rows.sparkSession.dataSource.register(IdPlanes)
+    rows.write.format("idplanes").options(**options).mode("overwrite").save(path)
 
 
 def write_ids(rows: DataFrame, path: str, planes: str = "bytes", file_ids: int = FILE_IDS) -> None:
     """Write ``doc_id, ids`` in the order that ``rows`` has."""
-    spark = rows.sparkSession
-    spark.dataSource.register(IdPlanes)
-    out = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").write.format("idplanes")
-    out.option("planes", planes).option("file_ids", file_ids).mode("overwrite").save(path)
+    own = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids")
+    _write(own, path, {"planes": planes, "file_ids": file_ids})
+
+
+def write_texts(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    planes: str = "bytes",
+    file_ids: int = FILE_IDS,
+) -> None:
+    """Encode ``doc_id, text`` and write the ids, in the order that ``docs`` has."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    _write(own, path, {"planes": planes, "file_ids": file_ids, "tokenizer": tokenizer, "end_id": end_id})
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -373,7 +413,9 @@ class PieceEncoder:
             and not steps["add_prefix_space"]
             and len(line) == 1
         )
+        # what is used stays: pieces of the older generation go over to the young one when they recur
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -391,9 +433,7 @@ class PieceEncoder:
             coded = [packed[a:b] for a, b in zip(begins, [*ends.tolist(), len(packed)], strict=True)]
             self.known.update(zip(part, coded, strict=True))
 
-    def _learn(self, pieces: list[str], make_room: bool = True) -> None:
-        if make_room and len(self.known) + len(pieces) > PIECES_KEPT:  # the older half goes
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+    def _learn(self, pieces: list[str]) -> None:
         known = self.known
         rest = [p for p in pieces if not _SIMPLE.fullmatch(p)]
         known.update(zip(rest, self._library(rest), strict=True))
@@ -433,11 +473,14 @@ class PieceEncoder:
         cut = pc.split_pattern(pa.array(marked, type=pa.string()), "\0")
         pieces = cut.values.dictionary_encode()
         names = pieces.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.known])
+        if len(self.known) > PIECES_KEPT // 2:
+            self.known, self.older = {}, self.known
         found = list(map(self.known.get, names))
-        if None in found:  # known until older pieces made room just now
-            self._learn([p for p, f in zip(names, found, strict=True) if f is None], make_room=False)
-            found = list(map(self.known.__getitem__, names))
+        new = [p for p, f in zip(names, found, strict=True) if f is None]
+        again = {p: f for p, f in zip(new, map(self.older.get, new), strict=True) if f is not None}
+        self.known.update(again)
+        self._learn([p for p in new if p not in again])
+        found = list(map(self.known.__getitem__, names))
         # copy each piece's ids to the places of its occurrences, all at once
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
@@ -452,35 +495,16 @@ class PieceEncoder:
         return out
 
 
-_kept: dict[str, PieceEncoder] = {}
+_kept: dict[int, PieceEncoder] = {}
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """``doc_id, ids`` of each row of ``docs`` (``doc_id, text``), in its order; ``end_id`` is
-    put after each document."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _kept:
-            _kept[path] = PieceEncoder(shared.value)
-        own = _kept[path]
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                ids = [b + end for b in own.encode(texts[at:to])]
-                yield pd.DataFrame({"key": batch["key"].iloc[at:to].array, "ids": ids})
-                at = to
-
-    # the key travels as text: a null among integers would turn pandas' column into floats
-    rows = docs.select(F.col("doc_id").cast("string").alias("key"), "text")
-    return rows.mapInPandas(run, "key string, ids binary").select(F.col("key").cast("bigint").alias("doc_id"), "ids")
+def encoder_of(tokenizer: str) -> PieceEncoder:
+    """This worker's encoder; what it has learned stays between tasks."""
+    key = hash(tokenizer)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = PieceEncoder(tokenizer)
+    return _kept[key]
 
 
 def in_id_order(docs: DataFrame) -> DataFrame:
@@ -496,7 +520,7 @@ def op12_planes(spark, sf_dir):
 
     docs = in_id_order(table(spark, sf_dir, "documents"))
     path = new_place(spark, "llm-planes")
-    write_ids(encoded(docs, public_tokenizers.path(VOCABULARY)), path)
+    write_texts(docs, path, public_tokenizers.path(VOCABULARY))
     return read_ids(spark, path).select(
         "doc_id",
         "start",
