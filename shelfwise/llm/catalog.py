@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import bpe, chat, collocations, fingerprints, language, lines, mixing, planes, quality, sharding, simhash, toxicity
+from shelfwise.llm import bpe, chat, collocations, fingerprints, language, lines, mixing, planes, quality, sharding, simhash, toxicity, variants
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_lines": lines.op8_lines,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_variants": variants.op11_variants,
         "op12_planes": planes.op12_planes,
         "op13_collocations": collocations.op13_collocations,
     }
