@@ -738,7 +738,7 @@ def report_sql() -> dict[str, str]:
             "class",
             "SELECT abc_class_display, dead_stock_value FROM m WHERE dead_stock_value IS NOT NULL",
         ),
-        "rpt05_store_abc_matrix": with_ctes(MATRIX_SQL),
+        "rpt05_store_abc_matrix": with_ctes(MATRIX_SQL, MATRIX_CTES),
         "rpt06_risk_cards": measures_sql(
             "total", "SELECT dead_stock_value, dead_stock_sku_count, out_of_stock_records FROM m"
         ),
@@ -882,6 +882,23 @@ def _nested(grain: str) -> dict[str, str]:
     return {f"{grain}_m": f"WITH {chain} SELECT * FROM m"}
 
 
+# both facts by product and store, before classes are looked up
+MATRIX_CTES = {
+    "matrix_rows": """
+SELECT product_sk, store_sk, SUM(sales_dollars) AS rev, SUM(estimated_cogs) AS cogs, NULL AS beg, NULL AS fin,
+  NULL AS oos, NULL AS n
+FROM fact_sales GROUP BY 1, 2
+UNION ALL
+SELECT product_sk, store_sk, NULL, NULL,
+  SUM(total_inventory_value) FILTER (WHERE snapshot_type = 'BEGINNING'),
+  SUM(total_inventory_value) FILTER (WHERE snapshot_type = 'ENDING'),
+  NULLIF(CAST(COUNT(*) FILTER (WHERE snapshot_type = 'ENDING' AND quantity_on_hand <= 0) AS BIGINT), 0),
+  CAST(COUNT(*) FILTER (WHERE snapshot_type = 'ENDING') AS BIGINT)
+FROM fact_inventory_snapshot GROUP BY 1, 2""",
+    "matrix_classes": """
+SELECT b.product_sk, COALESCE(l.abc_class, 'Unclassified') AS cls
+FROM product_base b LEFT JOIN abc_labels l ON b.product_sk = l.product_sk""",
+}
 MATRIX_SQL = """
 SELECT CASE gid WHEN 0 THEN 'class' WHEN 1 THEN 'store' ELSE 'total' END AS level, d.store_number,
   abc_class_display, CAST(rev AS DECIMAL(28,2)) AS total_revenue,
@@ -893,18 +910,8 @@ FROM (SELECT *, CASE WHEN beg IS NOT NULL OR fin IS NOT NULL
     THEN CAST(COALESCE(beg, 0) + COALESCE(fin, 0) AS DOUBLE) / 2 END AS a
   FROM (SELECT GROUPING(store_sk, cls) AS gid, store_sk, cls AS abc_class_display, SUM(rev) AS rev,
           SUM(cogs) AS cogs, SUM(beg) AS beg, SUM(fin) AS fin, SUM(oos) AS oos, SUM(n) AS n
-        FROM (SELECT f.store_sk, CASE WHEN p.product_sk IS NOT NULL
-                THEN COALESCE(p.abc_class, 'Unclassified') END AS cls, f.sales_dollars AS rev,
-                f.estimated_cogs AS cogs, NULL AS beg, NULL AS fin, NULL AS oos, NULL AS n
-              FROM fact_sales f LEFT JOIN dim_product p ON f.product_sk = p.product_sk
-              UNION ALL
-              SELECT i.store_sk, CASE WHEN p.product_sk IS NOT NULL
-                THEN COALESCE(p.abc_class, 'Unclassified') END, NULL, NULL,
-                CASE WHEN i.snapshot_type = 'BEGINNING' THEN i.total_inventory_value END,
-                CASE WHEN i.snapshot_type = 'ENDING' THEN i.total_inventory_value END,
-                CASE WHEN i.snapshot_type = 'ENDING' AND i.quantity_on_hand <= 0 THEN 1 END,
-                CASE WHEN i.snapshot_type = 'ENDING' THEN 1 ELSE 0 END
-              FROM fact_inventory_snapshot i LEFT JOIN dim_product p ON i.product_sk = p.product_sk)
+        FROM (SELECT f.store_sk, p.cls, f.rev, f.cogs, f.beg, f.fin, f.oos, f.n
+              FROM matrix_rows f LEFT JOIN matrix_classes p ON f.product_sk = p.product_sk)
         GROUP BY ROLLUP (store_sk, cls))) g
 LEFT JOIN dim_store d ON g.store_sk = d.store_sk"""
 
