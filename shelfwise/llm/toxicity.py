@@ -61,6 +61,7 @@ FEATURES = [
 ]
 _HIT, _SECOND, _SHOUT, _CAPITAL, _MIXED, _STRETCHED, _DISGUISED = (1 << k for k in range(7))
 _STRETCH, _SIGN_RUN, _EDGES = re.compile(r"(.)\1\1"), re.compile(r"[!?]{2,}"), re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_LEFT, _RIGHT = re.compile(r"^[\W\d_]+"), re.compile(r"[\W\d_]+$")
 
 
 class TokenFlags:
@@ -73,16 +74,21 @@ class TokenFlags:
         lexicon = self.lexicon
         return word in lexicon or any(word[:n] + "*" in lexicon for n in STEMS if len(word) > n)
 
+    @staticmethod
+    def _disguises(token: str) -> set[str]:
+        """What a token can stand for: its edges may be letters in disguise or mere punctuation."""
+        left, right = _LEFT.sub("", token), _RIGHT.sub("", token)
+        plain = {t.translate(LOOKS_LIKE) for t in (token, left, right, _RIGHT.sub("", left))}
+        return {w for t in plain for w in (t, "".join(filter(str.isalpha, t))) if w}
+
     def _flags(self, token: str) -> int:
         core = _EDGES.sub("", token)
         word = core.lower()
         flags = 0
         if word and self._listed(word):
             flags |= _HIT
-        elif word and not word.isalpha():
-            plain = word.translate(LOOKS_LIKE)
-            if self._listed(plain) or self._listed("".join(filter(str.isalpha, plain))):
-                flags |= _DISGUISED
+        elif not token.isalpha() and any(map(self._listed, self._disguises(token.lower()))):
+            flags |= _DISGUISED
         if word in SECOND_PERSON:
             flags |= _SECOND
         if len(core) > 1 and core.isupper():
