@@ -35,6 +35,7 @@ from shelfwise.plans.marts import BEGINNING, ENDING, sales_month
 from shelfwise.plans.warehouse import Warehouse
 
 PRODUCT, STORE, CLASS, MONTH = "product_sk", "store_sk", "abc_class_display", "year_month"
+LEVEL = "level_of"
 
 # Measure name -> output type, in catalogue order.
 SUMS = {
@@ -376,6 +377,11 @@ def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFr
         calendar_days = F.col("calendar_days")
     else:
         calendar_days = ctx.calendar_days().scalar()
+    return per_key.select(*keys, *_statistics(calendar_days, params))
+
+
+def _statistics(calendar_days: Column, params: Replenishment) -> list[Column]:
+    """The daily measures from ``sx, sxx, n, active_days``, sums over the days of a key."""
     sx, sxx, n = F.col("sx"), F.col("sxx"), F.col("n").cast("double")
     spread_over = calendar_days.cast("double") if params.deviation == "as_written" else n
     mean = F.try_divide(sx, n)
@@ -383,15 +389,12 @@ def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFr
     average = safe_divide(sx, F.col("active_days"))
     deviation = F.sqrt(F.greatest(variance, F.lit(0.0)))
     safety = F.lit(params.z) * deviation * F.sqrt(F.lit(float(params.lead_time_days)))
-    return per_key.select(
-        *keys,
+    return [
         average.alias("avg_daily_sales_qty"),
         deviation.alias("stddev_daily_sales_qty"),
         safety.alias("safety_stock_qty"),
-        F.round(average * F.lit(float(params.lead_time_days)) + safety, 0).alias(
-            "reorder_point_qty"
-        ),
-    )
+        F.round(average * F.lit(float(params.lead_time_days)) + safety, 0).alias("reorder_point_qty"),
+    ]
 
 
 def lowest_store_stock(ctx: Context, *extra: str) -> DataFrame:
@@ -588,6 +591,105 @@ def evaluate(
     return rows.select(*grain, *[_output(n).alias(n) for n in names])
 
 
+def evaluate_levels(
+    warehouse: Warehouse,
+    names: list[str],
+    where: Slice = Slice(),
+    params: Replenishment | None = None,
+) -> DataFrame:
+    """Stock and reorder measures of classes, products and positions from one pass over the facts.
+
+    ``LEVEL`` is CLASS, PRODUCT or STORE (a product in a store); keys finer than the level are
+    NULL. None of these measures adds up, but the sums below them do: grouping sets add quantities
+    up by day at all levels at once, a second grouping turns days into moments, and in a third
+    each store hands its stock to the levels above, which keep the lowest.
+    """
+    params = params or warehouse.settings.replenishment
+    wanted = _closure(names)
+    if unknown := wanted - {*DAILY, *ALERT, *STOCK_VS_ROP, "current_stock_qty"}:
+        raise ValueError(f"not a measure of stock and reorder points: {sorted(unknown)}")
+    ctx = Context(warehouse, [], where)
+    snapshot = F.lit(1).cast("bigint").alias("records")
+    ending = F.when(F.col("snapshot_type") == ENDING, F.col("quantity_on_hand")).alias("stock")
+    day, keys = "sales_date", [CLASS, PRODUCT, STORE]
+    rows = (
+        ctx.sales()
+        .select(PRODUCT, STORE, day, F.col("sales_quantity").alias("x"), F.lit(1).alias("sold"))
+        .unionByName(ctx.snapshot().select(PRODUCT, STORE, ending, snapshot), allowMissingColumns=True)
+        .join(ctx.products.select(PRODUCT, CLASS), PRODUCT, "left")
+    )
+    by_day = rows.groupingSets(
+        [[CLASS, day], [PRODUCT, day], [PRODUCT, STORE, day], [CLASS, STORE]], CLASS, PRODUCT, STORE, day
+    ).agg(
+        # which of the keys are in the set, since a key can be NULL by itself
+        (F.grouping(CLASS) == 0).alias("of_class"),
+        (F.grouping(STORE) == 0).alias("of_store"),
+        *[F.sum(c).alias(c) for c in ("x", "sold", "stock", "records")],
+    )
+    x, of_class, of_store = F.col("x"), F.col("of_class"), F.col("of_store")
+    per_key = by_day.groupBy("of_class", "of_store", *keys).agg(
+        F.sum("x").cast("double").alias("sx"),
+        F.sum(x * x).cast("double").alias("sxx"),
+        F.count("x").alias("n"),
+        F.count(day).alias("active_days"),
+        F.sum("stock").alias("current_stock_qty"),
+        F.sum("records").alias("records"),
+        F.sum("sold").alias("sold"),
+    )
+    # without any sales rows there are no daily figures, not even a deviation of 0
+    statistics = zip(DAILY, _statistics(ctx.calendar_days().scalar(), params), strict=True)
+    measured = per_key.select(
+        "of_class",
+        "of_store",
+        *keys,
+        "current_stock_qty",
+        "records",
+        *[F.when(F.col("sold") > 0, c).alias(n) for n, c in statistics],
+    )
+    own = [c for c in measured.columns if c not in ("of_class", "of_store", *keys)]
+    none = [F.lit(None).cast(measured.schema[c].dataType).alias(c) for c in own]
+    stock = measured.schema["current_stock_qty"].dataType
+    held = F.when(F.col("records") > 0, F.col("current_stock_qty"))
+    has_any = F.coalesce(F.col("records") > 0, F.lit(False))
+    as_it_is = F.struct(
+        of_class.alias("of_class"),
+        of_store.alias("of_store"),
+        *keys,
+        *own,
+        F.lit(None).cast(stock).alias("lowest_stock"),
+        F.lit(False).alias("has_snapshot"),
+    )
+    # what a store tells its class or product; the class by store has no row of its own
+    handed = F.struct(
+        of_class.alias("of_class"),
+        F.lit(False).alias("of_store"),
+        CLASS,
+        PRODUCT,
+        F.lit(None).cast(measured.schema[STORE].dataType).alias(STORE),
+        *none,
+        held.alias("lowest_stock"),
+        has_any.alias("has_snapshot"),
+    )
+    said = F.when(of_store & of_class, F.array(handed)).when(of_store, F.array(as_it_is, handed))
+    told = measured.select(F.inline(said.otherwise(F.array(as_it_is))))
+    levels = told.groupBy("of_class", "of_store", *keys).agg(
+        *[F.max(c).alias(c) for c in own],
+        F.min("lowest_stock").alias("lowest_stock"),
+        F.bool_or("has_snapshot").alias("has_snapshot"),
+    )
+    in_store = F.col("of_store")
+    levels = levels.withColumns(
+        {
+            "lowest_stock": F.when(in_store, F.col("current_stock_qty")).otherwise(F.col("lowest_stock")),
+            "has_snapshot": F.when(in_store, F.col("records") > 0).otherwise(F.col("has_snapshot")),
+        }
+    ).withColumn("alert_code", _alert())
+    for name, column in _derived(wanted):
+        levels = levels.withColumn(name, column)
+    level = F.when(F.col("of_class"), CLASS).when(in_store, STORE).otherwise(PRODUCT)
+    return levels.select(level.alias(LEVEL), *keys, *[_output(n).alias(n) for n in names])
+
+
 def turnover_ytd(warehouse: Warehouse, where: Slice = Slice()) -> DataFrame:
     """Turnover of the year up to each month; the window runs over the months of a year.
 

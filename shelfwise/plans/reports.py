@@ -19,12 +19,14 @@ from shelfwise.plans import kpis
 from shelfwise.plans.marts import sales_month
 from shelfwise.plans.measures import (
     CLASS,
+    LEVEL,
     MONTH,
     PRODUCT,
     STORE,
     Context,
     Slice,
     evaluate,
+    evaluate_levels,
     product_alerts,
 )
 from shelfwise.plans.warehouse import Warehouse
@@ -212,41 +214,24 @@ REPLENISHMENT = [
 def replenish_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     """Priority group, brand and store, with subtotals evaluated at their own level:
     a reorder point of a group is not the sum of those of its stores."""
-    columns = ["level", "abc_priority_group", "brand", "store_number", *REPLENISHMENT]
     brands = _product_names(w, "brand", "abc_class").select(
-        PRODUCT, "brand", abc_priority_group().alias("abc_priority_group")
+        PRODUCT, "brand", abc_priority_group().alias("group_of_brand")
     )
-    group_of_class = F.when(F.col(CLASS) != "Unclassified", F.col(CLASS))
-    known_group = F.when(F.col(CLASS).isNotNull(), abc_priority_group())
-    no_brand = F.lit(None).cast("bigint").alias("brand")
-    no_store = F.lit(None).cast("bigint").alias("store_number")
-
-    groups = (
-        evaluate(w, [CLASS], REPLENISHMENT, where)
-        .withColumn("abc_class", group_of_class)
+    of_class = F.col(LEVEL) == CLASS
+    known_class = F.when(F.col(CLASS) != "Unclassified", F.col(CLASS)).alias("abc_class")
+    level = F.when(of_class, "group").when(F.col(LEVEL) == STORE, "store").otherwise("brand")
+    rows = evaluate_levels(w, REPLENISHMENT, where).select("*", known_class, level.alias("level"))
+    group_of_class = F.when(F.col(CLASS).isNotNull(), abc_priority_group())
+    return (
+        rows.join(brands, PRODUCT, "left")
+        .join(_store_numbers(w), STORE, "left")
         .select(
-            F.lit("group").alias("level"),
-            known_group.alias("abc_priority_group"),
-            no_brand,
-            no_store,
+            "level",
+            F.when(of_class, group_of_class).otherwise(F.col("group_of_brand")).alias("abc_priority_group"),
+            "brand",
+            "store_number",
             *REPLENISHMENT,
         )
-    )
-    products = (
-        evaluate(w, [PRODUCT], REPLENISHMENT, where)
-        .join(brands, PRODUCT, "left")
-        .select(F.lit("brand").alias("level"), "abc_priority_group", "brand", no_store, *REPLENISHMENT)
-    )
-    positions = (
-        evaluate(w, [PRODUCT, STORE], REPLENISHMENT, where)
-        .join(brands, PRODUCT, "left")
-        .join(_store_numbers(w), STORE, "left")
-        .withColumn("level", F.lit("store"))
-        .select(*columns)
-    )
-    return (
-        groups.unionByName(products)
-        .unionByName(positions)
         .orderBy(
             F.asc_nulls_last("reorder_alert_sort"),
             F.asc_nulls_last("stock_vs_rop_gap"),

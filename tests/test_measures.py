@@ -8,7 +8,18 @@ from shelfwise.config import Replenishment
 from shelfwise.functions import labels
 from shelfwise.operators.quality import snapshot_probe
 from shelfwise.plans import measures, reports
-from shelfwise.plans.measures import CLASS, MONTH, PRODUCT, STORE, Slice, evaluate
+from shelfwise.plans.measures import (
+    CLASS,
+    DAILY,
+    LEVEL,
+    MONTH,
+    PRODUCT,
+    STOCK_VS_ROP,
+    STORE,
+    Slice,
+    evaluate,
+    evaluate_levels,
+)
 from tests import tiny
 
 
@@ -176,3 +187,19 @@ def test_snapshot_probe_of_one_pair(w):
         w.table("fact_inventory_snapshot"), w.table("dim_store"), w.table("dim_product"), 1, 10
     ).collect()
     assert {(r.snapshot_type, r.n, int(r.qty)) for r in found} == {("BEGINNING", 1, 8), ("ENDING", 1, 0)}
+
+
+@pytest.mark.parametrize("where", [Slice(), Slice(months=(10, 11, 12)), Slice(stores=(1,)), Slice(abc_classes=("A",))])
+def test_levels_are_the_measures_of_their_grain(w, where):
+    """One pass over the facts gives what one evaluation for each grain gives."""
+    names = ["current_stock_qty", *DAILY, "reorder_alert", "reorder_alert_sort", *STOCK_VS_ROP]
+    levels = evaluate_levels(w, names, where).cache()
+    for level, grain in ((CLASS, [CLASS]), (PRODUCT, [PRODUCT]), (STORE, [PRODUCT, STORE])):
+        of_level = levels.filter(levels[LEVEL] == level).select(*grain, *names).collect()
+        alone = evaluate(w, grain, names, where).collect()
+        assert sorted(map(str, of_level)) == sorted(map(str, alone)) and alone
+
+
+def test_levels_refuse_other_measures(w):
+    with pytest.raises(ValueError, match="dead_stock_value"):
+        evaluate_levels(w, ["dead_stock_value"])

@@ -72,3 +72,10 @@ def test_text_is_deduplicated_by_hash_before_its_maximum(spark, plan, queries):
     text = plan(rows)
     below_union = text[text.index("Union") :]
     assert below_union.count("HashAggregate") == 2 and "Sort" not in below_union
+
+
+def test_reorder_matrix_reads_each_table_once(spark, plan, queries):
+    """Three levels of measures that do not add up, from one pass over both facts."""
+    text = plan(queries["rpt14_replenish_matrix"](spark, SMALL))
+    for column in ("sales_quantity", "quantity_on_hand"):  # of the daily sales, of the stock counts
+        assert len(re.findall(rf"FileScan parquet.*ReadSchema: \S*{column}", text)) == 1, column
