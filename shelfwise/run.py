@@ -24,7 +24,7 @@ from shelfwise import catalog  # noqa: E402
 from shelfwise.config import Period  # noqa: E402
 from shelfwise.plans import staging  # noqa: E402
 from shelfwise.plans.warehouse import Warehouse  # noqa: E402
-from shelfwise.sources.extracts import LoadReport, load_catalog  # noqa: E402
+from shelfwise.sources.extracts import LoadReport, load_catalog, loaded_table  # noqa: E402
 from shelfwise.sources.schemas import RAW_TABLES, contract_report, text_schema  # noqa: E402
 
 
@@ -46,14 +46,14 @@ def run(
     report = load_catalog(spark, files, f"{target}/raw", multi_line)
     if set_aside:
         report.errors = [e for e in report.errors if not e[1].endswith("malformed records")]
-    loaded = {t: spark.read.parquet(f"{target}/raw/{t}") for t in report.rows_by_table}
+    loaded = {t: loaded_table(spark, f"{target}/raw", t) for t in report.rows_by_table}
     problems = contract_report(spark, loaded).filter("problem <> 'extra'")
     report.errors += [
         (r.table_name, f"column {r.column_name} {r.problem}") for r in problems.collect()
     ]
     if report.errors:
         return report
-    raw = {t: spark.read.schema(text_schema(t)).parquet(f"{target}/raw/{t}") for t in RAW_TABLES}
+    raw = {t: loaded[t].to(text_schema(t)) for t in RAW_TABLES}
     if set_aside:
         for staged, table in staging.STAGED_FROM.items():
             junk = staging.quarantine(raw[table], staged)

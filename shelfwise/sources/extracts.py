@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.sources.versions import Replacement, current_path, read_current, replace_versioned
+
 PREVIEW_ROWS = 100
+LOADS_AT_ONCE = 4
 AUDIT_SCHEMA = "table_name string, rows_loaded bigint, source_file string, loaded_at timestamp"
 
 # Word boundaries and separators of the header names.
@@ -28,6 +32,7 @@ def snake_case(header: str) -> str:
 
 
 MALFORMED = "malformed_record"
+KIND, GOOD, BAD = "kind", "good", "malformed"
 
 
 def _csv(spark: SparkSession, multi_line: bool):
@@ -101,10 +106,8 @@ class LoadReport:
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Overwrite a stored table; the row count is observed while it is written."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return seen.get["rows"]
+    """Replace a stored table, see ``versions``; returns its number of rows."""
+    return replace_versioned(df, path)
 
 
 def append_audit(spark: SparkSession, audit_path: str, table: str, rows: int, source: str) -> None:
@@ -124,29 +127,73 @@ def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     )
 
 
+def load_table(spark: SparkSession, table: str, path: str, target: str, multi_line: bool = False) -> tuple[int, int]:
+    """Load one extract in one pass over its text; returns the rows that are good and malformed.
+
+    Both kinds are written by the same job, apart by a partition column, and become visible
+    together: ``<version>/kind=good`` is the table, ``kind=malformed`` has the text of the others.
+    """
+    seen = Observation()
+    records = read_records(spark, path, multi_line)
+    own = Replacement(spark, f"{target}/{table}")
+    kind = F.when(F.col(MALFORMED).isNull(), GOOD).otherwise(BAD)
+    good = F.count_if(F.col(MALFORMED).isNull())
+    (
+        records.observe(seen, good.alias("good"), F.count(MALFORMED).alias("bad"))
+        .withColumn(KIND, kind)
+        .write.partitionBy(KIND)
+        .parquet(own.path)
+    )
+    counts = seen.get
+    if not counts["good"]:  # a table without rows still has its columns
+        empty = records.filter(F.lit(False))
+        empty.write.mode("overwrite").parquet(f"{own.path}/{KIND}={GOOD}")
+    own.publish()
+    return counts["good"], counts["bad"]
+
+
+def loaded_table(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """The well-formed records of the current version, all columns as text."""
+    return spark.read.parquet(f"{current_path(spark, f'{target}/{table}')}/{KIND}={GOOD}").drop(MALFORMED)
+
+
+def malformed_records(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """The text of the current version's malformed records, with the columns that could be read."""
+    everything = read_current(spark, f"{target}/{table}")
+    return everything.filter(F.col(KIND) == BAD).drop(KIND)
+
+
 def load_catalog(
-    spark: SparkSession, files: dict[str, str], target: str, multi_line: bool = False
+    spark: SparkSession,
+    files: dict[str, str],
+    target: str,
+    multi_line: bool = False,
+    at_once: int = LOADS_AT_ONCE,
 ) -> LoadReport:
     """Load each table from its file, replacing it; a bad file does not stop the rest.
 
-    Malformed records are errors of the report. Their text is kept in
-    ``<target>/malformed/<table>``; the table gets the other records.
+    ``at_once`` tables load side by side: the driver's threads only wait for their jobs, and
+    small tables fill the cores that a large one leaves. Malformed records are errors of the
+    report; ``malformed_records`` has their text, the table the other records.
     """
     report = LoadReport()
-    for table, path in files.items():
+
+    def load(table: str) -> tuple[int, int] | Exception:
         try:
-            seen = Observation()
-            bad = F.count(MALFORMED).alias("bad")
-            records = read_records(spark, path, multi_line).observe(seen, bad)
-            rows = replace_table(
-                records.filter(F.col(MALFORMED).isNull()).drop(MALFORMED), f"{target}/{table}"
-            )
-            append_audit(spark, f"{target}/load_audit", table, rows, path)
-            report.rows_by_table[table] = rows
-            if malformed := seen.get["bad"]:
-                report.errors.append((table, f"{malformed} malformed records"))
-                text = read_records(spark, path, multi_line).filter(F.col(MALFORMED).isNotNull())
-                text.write.mode("overwrite").parquet(f"{target}/malformed/{table}")
+            return load_table(spark, table, files[table], target, multi_line)
         except Exception as failure:  # noqa: BLE001 - recorded, the other tables still load
-            report.errors.append((table, str(failure).splitlines()[0]))
+            return failure
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        results = dict(zip(files, pool.map(load, files), strict=True))
+    # in the order asked for, whichever ended first
+    for table, result in results.items():
+        if isinstance(result, Exception):
+            report.errors.append((table, str(result).splitlines()[0]))
+            continue
+        rows, bad = result
+        append_audit(spark, f"{target}/load_audit", table, rows, files[table])
+        report.rows_by_table[table] = rows
+        if bad:
+            report.errors.append((table, f"{bad} malformed records"))
     return report

@@ -1,7 +1,10 @@
 import pytest
 
+from shelfwise.sources import extracts, versions
 from shelfwise.sources.extracts import (
     load_catalog,
+    loaded_table,
+    malformed_records,
     read_audit,
     read_extract,
     snake_case,
@@ -63,10 +66,10 @@ def test_catalog_goes_on_after_a_missing_file(spark, csv_file, tmp_path):
     assert report.rows_by_table == {"raw_a": 2, "raw_c": 2} and report.total_rows == 4
     assert [t for t, _ in report.errors] == ["raw_b"]
     assert report.errors_frame(spark).count() == 1
-    assert spark.read.parquet(f"{target}/raw_a").count() == 2
+    assert loaded_table(spark, target, "raw_a").count() == 2
     # a second load replaces the table and adds to the audit
     load_catalog(spark, {"raw_a": csv_file}, target)
-    assert spark.read.parquet(f"{target}/raw_a").count() == 2
+    assert loaded_table(spark, target, "raw_a").count() == 2
     audit = read_audit(spark, f"{target}/load_audit").collect()
     assert [r.table_name for r in audit] == ["raw_a", "raw_c", "raw_a"]
     assert all(r.rows_loaded == 2 and r.loaded_at is not None for r in audit)
@@ -108,9 +111,9 @@ def test_malformed_records_are_reported_not_cut(spark, bad_csv, tmp_path):
     target = str(tmp_path / "raw")
     report = load_catalog(spark, {"t": bad_csv}, target, multi_line=True)
     assert report.errors == [("t", "2 malformed records")]
-    rows = spark.read.parquet(f"{target}/t").orderBy("a").collect()
+    rows = loaded_table(spark, target, "t").orderBy("a").collect()
     assert [tuple(r) for r in rows] == [("1", "x", "y"), ("4", "two\nlines", "z")]
-    texts = {r["malformed_record"] for r in spark.read.parquet(f"{target}/malformed/t").collect()}
+    texts = {r["malformed_record"] for r in malformed_records(spark, target, "t").collect()}
     assert texts == {"2,x,3,EXTRA", "3,y"}
 
 
@@ -125,3 +128,51 @@ def test_preview_keeps_the_text(spark, tmp_path):
     write_preview(spark, str(tmp_path / "in.csv"), str(tmp_path / "preview"))
     part = next((tmp_path / "preview").glob("part-*.csv"))
     assert part.read_text(encoding="utf-8") == text
+
+
+def test_a_load_killed_half_way_leaves_the_old_table(spark, csv_file, tmp_path, monkeypatch):
+    target, longer = str(tmp_path / "raw"), tmp_path / "longer.csv"
+    longer.write_text("InventoryId,Store,onHand,PODate,Vendor No.\n" + "1,2,3,4,5\n" * 7, encoding="utf-8")
+    assert load_catalog(spark, {"t": csv_file}, target).rows_by_table == {"t": 2}
+
+    def killed(self):
+        raise RuntimeError("killed before the switch")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(extracts.Replacement, "publish", killed)
+        report = load_catalog(spark, {"t": str(longer)}, target)
+    assert report.errors == [("t", "killed before the switch")] and not report.rows_by_table
+    assert loaded_table(spark, target, "t").count() == 2
+    # the next load replaces what the killed one has left
+    reader = loaded_table(spark, target, "t")
+    assert load_catalog(spark, {"t": str(longer)}, target).rows_by_table == {"t": 7}
+    assert loaded_table(spark, target, "t").count() == 7
+    assert reader.count() == 2  # planned before the switch, its files are still there
+
+
+def test_old_versions_go(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for n in range(1, 5):
+        assert versions.replace_versioned(spark.range(n), table, keep=2) == n
+    assert versions.versions(spark, table) == [3, 4]
+    assert sorted(p.name for p in (tmp_path / "t").glob("version=*")) == ["version=000003", "version=000004"]
+    assert versions.read_current(spark, table).count() == 4
+    with pytest.raises(FileNotFoundError):
+        versions.read_current(spark, str(tmp_path / "none"))
+
+
+def test_the_text_is_read_once(spark, bad_csv, tmp_path, monkeypatch):
+    calls = []
+    plain = extracts.read_records
+    monkeypatch.setattr(extracts, "read_records", lambda *a: calls.append(a) or plain(*a))
+    report = load_catalog(spark, {"t": bad_csv, "u": bad_csv}, str(tmp_path / "raw"), True, at_once=2)
+    assert len(calls) == 2 and report.rows_by_table == {"t": 2, "u": 2}
+    assert [t for t, _ in report.errors] == ["t", "u"]
+
+
+def test_a_file_of_bad_records_only(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("A,B\n1,2,3\n")
+    report = load_catalog(spark, {"t": str(tmp_path / "x.csv")}, str(tmp_path / "raw"))
+    assert report.rows_by_table == {"t": 0}
+    found = loaded_table(spark, str(tmp_path / "raw"), "t")
+    assert found.columns == ["a", "b"] and found.count() == 0
