@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.config import Period, Settings
 from shelfwise.operators import abc
 from shelfwise.plans import marts, staging
 from shelfwise.session import cuts_so_far, drop_cuts, shared_dir, write_and_read
+from shelfwise.sources import versions
 from shelfwise.sources.retail_feed import PERIOD, RetailFeed
 from shelfwise.sources.schemas import RAW_TABLES
 
@@ -27,7 +31,11 @@ PARTITION = {
 class Warehouse:
     """Tables by name. ``build`` plans one from its inputs; ``table`` stores it first.
 
-    A warehouse holds for the application: input that changes under the same path is not seen.
+    Each stored table has a manifest: the stamps of the tables it was built from, and for raw
+    tables path, length and time of the files behind them. A table whose manifest still holds is
+    read as it is, also by a later application over the same folder; others are built anew, as
+    versions beside the old one. Stamps are looked at when a table is first asked for, and again
+    after ``refresh``; ``over_feed`` refreshes by itself if files have changed.
 
     ``raw`` maps each raw table to a function that gives its DataFrame.
     """
@@ -46,6 +54,9 @@ class Warehouse:
         self._raw = raw
         self._raw_is_stored = raw_is_stored
         self._stored: dict[str, DataFrame] = {}
+        self._stamps: dict[str, str] = {}
+        self._folders: dict[str, list[str]] = {}
+        self._asked: list[list[str]] = []
 
     @classmethod
     def over_feed(cls, spark: SparkSession, data_folder: str) -> "Warehouse":
@@ -66,14 +77,24 @@ class Warehouse:
             }
             name = hashlib.sha1(data_folder.encode()).hexdigest()[:10]
             _opened[key] = cls(spark, raw, PERIOD, f"{shared_dir(spark)}/{name}")
+        elif _opened[key].has_changed():
+            _opened[key].refresh()
         return _opened[key]
 
     @classmethod
     def over_raw(
-        cls, spark: SparkSession, raw: dict[str, DataFrame], period: Period, folder: str
+        cls,
+        spark: SparkSession,
+        raw: dict[str, DataFrame | Callable[[], DataFrame]],
+        period: Period,
+        folder: str,
     ) -> "Warehouse":
-        """The warehouse over raw tables that are stored already, e.g. loaded from CSV."""
-        given = {n: (lambda w, df=df: df) for n, df in raw.items()}
+        """The warehouse over raw tables that are stored already, e.g. loaded from CSV.
+
+        A function is called again after ``refresh`` and so reads files that were added; a
+        DataFrame keeps the files it was made with.
+        """
+        given = {n: (lambda w, df=df: df() if callable(df) else df) for n, df in raw.items()}
         return cls(spark, given, period, folder, raw_is_stored=True)
 
     def raw_tables(self) -> dict[str, DataFrame]:
@@ -82,24 +103,107 @@ class Warehouse:
     def staged_tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in staging.STAGED}
 
+    # -- what is still good -------------------------------------------------------
+
+    def _place(self, name: str) -> str:
+        layer = "raw" if name in self._raw else "staging" if name in staging.STAGED else "marts"
+        return f"{self.folder}/{layer}/{name}"
+
+    def _outside(self, df: DataFrame) -> list[str]:
+        """The folders of the files that ``df`` reads, but for those of this warehouse's tables."""
+        own = [f"{self.folder}/{layer}/" for layer in ("raw", "staging", "marts")]
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        return sorted(f for f in folders if self._raw_is_stored or not any(o.partition(":")[2] in f for o in own))
+
+    def has_changed(self) -> bool:
+        """Whether files behind a raw table are not what they were."""
+        return any(
+            versions.stamp_of(versions.files_below(self.spark, folders)) != self._stamps[f"files of {name}"]
+            for name, folders in self._folders.items()
+        )
+
+    def refresh(self) -> None:
+        """Look at all manifests again; only tables whose inputs changed are built anew."""
+        self._stored, self._stamps, self._folders = {}, {}, {}
+
+    def _files_stamp(self, name: str, folders: list[str]) -> str:
+        self._folders[name] = folders
+        stamp = versions.stamp_of(versions.files_below(self.spark, folders))
+        self._stamps[f"files of {name}"] = stamp
+        return stamp
+
+    def _holds(self, manifest: dict | None, name: str) -> bool:
+        if manifest is None or manifest["period"] != str(self.settings.period):
+            return False
+        if name in self._raw and not manifest["folders"] and not manifest["inputs"]:
+            return False  # made from no files: nothing to tell by
+        if manifest["folders"] and self._files_stamp(name, manifest["folders"]) != manifest["files"]:
+            return False
+        for other, stamp in manifest["inputs"].items():
+            self.table(other)
+            if self._stamps[other] != stamp:
+                return False
+        return True
+
     def table(self, name: str) -> DataFrame:
+        for asked in self._asked[-1:]:
+            if name not in asked:
+                asked.append(name)
         if name not in self._stored:
-            before = cuts_so_far(self.spark)
-            df = self.build(name)
-            if name in RAW_TABLES and self._raw_is_stored:
-                return self._stored.setdefault(name, df)
-            layer = "raw" if name in self._raw else "staging" if name in staging.STAGED else "marts"
-            if layer == "staging":
-                df = staging.stamped(df)
-            if name == "fact_sales":
-                df = df.withColumn("sales_month", marts.sales_month(F.col("sales_date")))
-            self._stored[name] = write_and_read(
-                df, f"{self.folder}/{layer}/{name}", PARTITION.get(name)
-            )
-            # copies made on the way to this table have served their purpose
-            drop_cuts(self.spark, since=before)
+            self._asked.append([])
+            try:
+                self._stored[name] = self._open(name)
+            finally:
+                self._asked.pop()
         return self._stored[name]
 
+    def _open(self, name: str) -> DataFrame:
+        if name in RAW_TABLES and self._raw_is_stored:
+            df = self._raw[name](self)
+            folders = self._outside(df)
+            # without files, such as rows given by a test, every warehouse has its own
+            self._stamps[name] = self._files_stamp(name, folders) if folders else uuid.uuid4().hex
+            return df
+        place = self._place(name)
+        manifest = versions.read_manifest(self.spark, f"{place}/manifest.json")
+        if self._holds(manifest, name):
+            self._stamps[name] = manifest["stamp"]
+            schema = T.StructType.fromJson(manifest["schema"])
+            return self.spark.read.schema(schema).parquet(f"{place}/version={manifest['version']:06d}")
+        return self._store(name, place)
+
+    def _store(self, name: str, place: str) -> DataFrame:
+        self._asked[-1].clear()
+        before = cuts_so_far(self.spark)
+        df = self.build(name)
+        inputs = {other: self._stamps[other] for other in self._asked[-1]}
+        folders = self._outside(df) if name in self._raw else []
+        files = self._files_stamp(name, folders) if folders else ""
+        if name in staging.STAGED:
+            df = staging.stamped(df)
+        if name == "fact_sales":
+            df = df.withColumn("sales_month", marts.sales_month(F.col("sales_date")))
+        new = versions.Replacement(self.spark, place)
+        stored = write_and_read(df, new.path, PARTITION.get(name))
+        new.publish()
+        self._stamps[name] = uuid.uuid4().hex
+        versions.write_manifest(
+            self.spark,
+            f"{place}/manifest.json",
+            {
+                "stamp": self._stamps[name],
+                "version": new.number,
+                "period": str(self.settings.period),
+                "inputs": inputs,
+                "folders": folders,
+                "files": files,
+                "schema": json.loads(df.schema.json()),
+            },
+        )
+        # copies made on the way to this table have served their purpose
+        drop_cuts(self.spark, since=before)
+        return stored
+
     def build(self, name: str) -> DataFrame:
         """The plan of a table over its stored inputs."""
         t = self.table

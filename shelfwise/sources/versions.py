@@ -12,6 +12,9 @@ fails because it exists already.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +80,41 @@ def replace_versioned(df: DataFrame, table: str, keep: int = KEEP) -> int:
     rows = seen.get["rows"]
     own.publish()
     return rows
+
+
+# -- manifests ------------------------------------------------------------------------
+
+
+def files_below(spark: SparkSession, folders: list[str]) -> list[tuple[str, int, int]]:
+    """Path, length and time of the files in ``folders``, hidden ones left out."""
+    found = []
+    for folder in sorted(folders):
+        system, place = _system(spark, folder)
+        if system.exists(place):
+            for s in system.listStatus(place):
+                name = s.getPath().getName()
+                if s.isFile() and not name.startswith(("_", ".")):
+                    found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
+def stamp_of(files: list[tuple[str, int, int]]) -> str:
+    return hashlib.sha1(json.dumps(files).encode()).hexdigest()
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    system, place = _system(spark, path)
+    out = system.create(place, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    system, place = _system(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
