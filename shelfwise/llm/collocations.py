@@ -48,10 +48,16 @@ _TABLE = bytes(
     10 if c in SEPARATORS else 32 if c in BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 _STRIPE = "lang string, prefix binary, part int, nexts binary, counts binary"
+_STRIPE_COLUMNS = ["lang", "prefix", "part", "nexts", "counts"]
 _PHRASE = "lang string, prefix binary, next binary, a long, total long, whole boolean"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """A frame of plain objects: no column becomes one of pandas' own string types."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 # -- words ----------------------------------------------------------------------------
 
 
@@ -155,7 +161,7 @@ def _stripes_of(tokens: Tokens, k: int, known: Filter | None, lang: str) -> tupl
 def _stripe_rows(tokens: Tokens, k: int, known: Filter | None, hot: frozenset, lang: str) -> pd.DataFrame:
     prefix, place, after, counts = _stripes_of(tokens, k, known, lang)
     if not len(prefix):
-        return pd.DataFrame({"lang": [], "prefix": [], "part": [], "nexts": [], "counts": []})
+        return _frame([], _STRIPE_COLUMNS)
     begins = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
     cuts = [*begins.tolist(), len(prefix)]
     names = np.append(tokens.words, PIECE_END)[after]
@@ -171,7 +177,7 @@ def _stripe_rows(tokens: Tokens, k: int, known: Filter | None, hot: frozenset, l
                 out.append((lang, head, p, b" ".join(names[own].tolist()), counts[own].tobytes()))
         else:
             out.append((lang, head, 0, b" ".join(names[a:b].tolist()), counts[a:b].tobytes()))
-    return pd.DataFrame(out, columns=["lang", "prefix", "part", "nexts", "counts"])
+    return _frame(out, _STRIPE_COLUMNS)
 
 
 def stripes(docs: DataFrame, k: int, hot: frozenset, known: Filter | None = None) -> DataFrame:
@@ -210,7 +216,7 @@ class Merged:
         own = self.owner == which
         nexts = b" ".join(self.words[self.after[own]].tolist())
         row = (*self.keys[which], nexts, self.counts[own].astype("<i8").tobytes())
-        return pd.DataFrame([row], columns=["lang", "prefix", "part", "nexts", "counts"])
+        return _frame([row], _STRIPE_COLUMNS)
 
     def phrases(self, stripes_: int, least: int) -> pd.DataFrame:
         """Of the first ``stripes_``: frequent extensions, and a row with the total of each."""
@@ -224,9 +230,9 @@ class Merged:
         heads = [self.keys[i] for i in of.tolist()]
         return pd.DataFrame(
             {
-                "lang": [h[0] for h in heads],
-                "prefix": [h[1] for h in heads],
-                "next": [*self.words[self.after[good]].tolist(), *[None] * (len(of) - n)],
+                "lang": pd.Series([h[0] for h in heads], dtype=object),
+                "prefix": pd.Series([h[1] for h in heads], dtype=object),
+                "next": pd.Series([*self.words[self.after[good]].tolist(), *[None] * (len(of) - n)], dtype=object),
                 "a": np.append(self.counts[good], np.zeros(len(of) - n, dtype=np.int64)),
                 "total": total[of],
                 "whole": np.arange(len(of)) >= n,
