@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import oracles
 from shelfwise.operators import abc, quality
+from shelfwise.operators.profile import Profiles
 from shelfwise.plans import kpis, marts, measures, reports, staging
 from shelfwise.plans.measures import CLASS, PRODUCT, STORE, Slice, evaluate
 from shelfwise.plans.warehouse import Warehouse
@@ -95,15 +96,32 @@ def _all_measures(grain: str) -> Job:
     return lambda w: evaluate(w, GRAINS[grain], measures.ALL)
 
 
-def _quality_jobs() -> dict[str, Job]:
-    required = {
-        "dq02a_null_sales": "raw_sales",
-        "dq02b_null_purchases": "raw_purchases",
-        "dq02c_null_beg_inventory": "raw_beg_inventory",
-        "dq02d_null_end_inventory": "raw_end_inventory",
-        "dq02e_null_prices": "raw_purchase_prices",
-        "dq02f_null_invoices": "raw_invoice_purchases",
+NULL_CHECKS = {
+    "dq02a_null_sales": "raw_sales",
+    "dq02b_null_purchases": "raw_purchases",
+    "dq02c_null_beg_inventory": "raw_beg_inventory",
+    "dq02d_null_end_inventory": "raw_end_inventory",
+    "dq02e_null_prices": "raw_purchase_prices",
+    "dq02f_null_invoices": "raw_invoice_purchases",
+}
+
+
+def audit_jobs(profiles: Profiles) -> dict[str, Job]:
+    """The audits that a load has answered already, in place of the scans of the same name."""
+    jobs: dict[str, Job] = {
+        "src08_column_audit": lambda w: profiles.column_audit(),
+        "dq01_row_counts": lambda w: profiles.row_counts(),
+        "dq03_business_rules": lambda w: profiles.business_rules(),
+        "dq04_date_ranges": lambda w: profiles.date_ranges(w.settings.period),
     }
+    for key, table in NULL_CHECKS.items():
+        jobs[key] = lambda w, t=table: profiles.null_counts(t)
+    for key, (check, _) in oracles.BUSINESS_RULES.items():
+        jobs[key] = lambda w, c=check: profiles.business_rule(c)
+    return jobs
+
+
+def _quality_jobs() -> dict[str, Job]:
     jobs: dict[str, Job] = {
         "src08_column_audit": lambda w: column_audit(w.raw_tables()),
         "dq01_row_counts": lambda w: quality.row_counts(w.raw_tables()),
@@ -154,7 +172,7 @@ def _quality_jobs() -> dict[str, Job]:
             w.table("fact_inventory_snapshot"), w.table("dim_store"), w.table("dim_product")
         ),
     }
-    for key, table in required.items():
+    for key, table in NULL_CHECKS.items():
         jobs[key] = lambda w, t=table: quality.null_counts(w.table(t), t)
     for key, (check, _) in oracles.BUSINESS_RULES.items():
         jobs[key] = lambda w, c=check: quality.business_rule(

@@ -52,17 +52,18 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def null_counts(df: DataFrame, table: str) -> DataFrame:
     """Total rows and missing values of the required columns, in one pass."""
 
-    def missing(name: str) -> Column:
-        blank = (table, name) in BLANK_IS_MISSING
-        return F.col(name).isNull() | (F.col(name) == "") if blank else F.col(name).isNull()
-
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        *[F.count_if(missing(c)).alias(f"null_{c}") for c in REQUIRED[table]],
+        *[F.count_if(missing(table, c)).alias(f"null_{c}") for c in REQUIRED[table]],
     )
 
 
-def _business_checks() -> dict[str, dict[str, Column]]:
+def missing(table: str, name: str) -> Column:
+    blank = (table, name) in BLANK_IS_MISSING
+    return F.col(name).isNull() | (F.col(name) == "") if blank else F.col(name).isNull()
+
+
+def business_checks() -> dict[str, dict[str, Column]]:
     tolerance = F.lit(PRICE_TOLERANCE).cast(_NUMBER)
     # Check names as reported.
     return {
@@ -100,7 +101,7 @@ def _business_checks() -> dict[str, dict[str, Column]]:
 def business_rules(tables: dict[str, DataFrame]) -> DataFrame:
     """Failing rows per check. Each table is scanned once, however many checks it has."""
     parts = []
-    for table, checks in _business_checks().items():
+    for table, checks in business_checks().items():
         if table not in tables:
             continue
         counted = tables[table].agg(
@@ -118,7 +119,7 @@ def business_rules(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def business_rule(tables: dict[str, DataFrame], check: str) -> DataFrame:
-    for table, checks in _business_checks().items():
+    for table, checks in business_checks().items():
         if check in checks:
             return tables[table].agg(
                 F.lit(check).alias("check_name"), F.count_if(checks[check]).alias("fail_count")
@@ -128,28 +129,34 @@ def business_rule(tables: dict[str, DataFrame], check: str) -> DataFrame:
 
 def date_ranges(tables: dict[str, DataFrame], period: Period) -> DataFrame:
     """First and last date, and rows outside the allowed range, of three extracts."""
-    # The checked column and the first allowed day of each extract.
-    checked: list[tuple[str, str, dt.date]] = [
-        ("raw_sales", "sales_date", period.start),
-        ("raw_purchases", "po_date", period.purchases_start),
-        ("raw_invoice_purchases", "invoice_date", period.purchases_start),
-    ]
     parts = []
-    for table, column, first in checked:
-        day = cleaned(column).try_cast("date")
+    for table, (day, outside) in dated(period).items():
         parts.append(
             tables[table].agg(
                 F.lit(table).alias("table_name"),
                 F.min(day).alias("min_date"),
                 F.max(day).alias("max_date"),
-                F.count_if((day < F.lit(first)) | (day > F.lit(period.end))).alias(
-                    "out_of_range"
-                ),
+                F.count_if(outside).alias("out_of_range"),
             )
         )
     return _union(parts)
 
 
+def dated(period: Period) -> dict[str, tuple[Column, Column]]:
+    """Per extract with a checked date: the date, and whether it is outside the allowed range."""
+    # The checked column and the first allowed day of each extract.
+    checked: list[tuple[str, str, dt.date]] = [
+        ("raw_sales", "sales_date", period.start),
+        ("raw_purchases", "po_date", period.purchases_start),
+        ("raw_invoice_purchases", "invoice_date", period.purchases_start),
+    ]
+    out = {}
+    for table, column, first in checked:
+        day = cleaned(column).try_cast("date")
+        out[table] = (day, (day < F.lit(first)) | (day > F.lit(period.end)))
+    return out
+
+
 def duplicates(df: DataFrame, keys: list[str], top: int | None = REPORT_TOP_N) -> DataFrame:
     """Key groups that occur more than once, most frequent first."""
     repeated = (

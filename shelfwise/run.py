@@ -24,7 +24,8 @@ from shelfwise import catalog  # noqa: E402
 from shelfwise.config import Period  # noqa: E402
 from shelfwise.plans import staging  # noqa: E402
 from shelfwise.plans.warehouse import Warehouse  # noqa: E402
-from shelfwise.sources.extracts import LoadReport, load_catalog, loaded_table  # noqa: E402
+from shelfwise.operators.profile import Profiles  # noqa: E402
+from shelfwise.sources.extracts import LoadReport, load_catalog, loaded_profile, loaded_table  # noqa: E402
 from shelfwise.sources.schemas import RAW_TABLES, contract_report, text_schema  # noqa: E402
 
 
@@ -42,8 +43,9 @@ def run(
     A value that cannot be cast ends the run, unless ``set_aside`` is asked for: then rows with
     such values go to ``<target>/quarantine/<table>``, with the offending columns, and the run
     goes on with the others. Malformed records end the run unless they are set aside too.
+    The audits of the raw layer are answered from what the load observed, without a scan.
     """
-    report = load_catalog(spark, files, f"{target}/raw", multi_line)
+    report = load_catalog(spark, files, f"{target}/raw", multi_line, period=period)
     if set_aside:
         report.errors = [e for e in report.errors if not e[1].endswith("malformed records")]
     loaded = {t: loaded_table(spark, f"{target}/raw", t) for t in report.rows_by_table}
@@ -60,7 +62,12 @@ def run(
             junk.write.mode("overwrite").parquet(f"{target}/quarantine/{table}")
             raw[table] = staging.clean(raw[table], staged)
     warehouse = Warehouse.over_raw(spark, raw, period, target)
-    for name, job in catalog.jobs().items():
+    jobs = catalog.jobs()
+    if not set_aside:  # else the audit is of the rows that are left
+        observed = {t: loaded_profile(spark, f"{target}/raw", t, period) for t in RAW_TABLES}
+        if all(observed.values()):
+            jobs |= catalog.audit_jobs(Profiles(spark, observed))
+    for name, job in jobs.items():
         if not only or name.startswith(only):
             job(warehouse).write.mode("overwrite").parquet(f"{target}/results/{name}")
     return report

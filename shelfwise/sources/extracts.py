@@ -10,7 +10,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.sources.versions import Replacement, current_path, read_current, replace_versioned
+from shelfwise.config import Period
+from shelfwise.operators.profile import PROFILE_FILE, can_profile, observable
+from shelfwise.sources.versions import (
+    Replacement,
+    current_path,
+    read_current,
+    read_manifest,
+    replace_versioned,
+    write_manifest,
+)
 
 PREVIEW_ROWS = 100
 LOADS_AT_ONCE = 4
@@ -127,19 +136,28 @@ def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     )
 
 
-def load_table(spark: SparkSession, table: str, path: str, target: str, multi_line: bool = False) -> tuple[int, int]:
+def load_table(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    target: str,
+    multi_line: bool = False,
+    period: Period | None = None,
+) -> tuple[int, int]:
     """Load one extract in one pass over its text; returns the rows that are good and malformed.
 
     Both kinds are written by the same job, apart by a partition column, and become visible
     together: ``<version>/kind=good`` is the table, ``kind=malformed`` has the text of the others.
+    With a ``period`` the same job observes the audit of the good rows, see ``loaded_profile``.
     """
     seen = Observation()
     records = read_records(spark, path, multi_line)
     own = Replacement(spark, f"{target}/{table}")
     kind = F.when(F.col(MALFORMED).isNull(), GOOD).otherwise(BAD)
-    good = F.count_if(F.col(MALFORMED).isNull())
+    is_good = F.col(MALFORMED).isNull()
+    audit = observable(table, period, is_good) if period and can_profile(table, records.columns) else []
     (
-        records.observe(seen, good.alias("good"), F.count(MALFORMED).alias("bad"))
+        records.observe(seen, F.count_if(is_good).alias("good"), F.count(MALFORMED).alias("bad"), *audit)
         .withColumn(KIND, kind)
         .write.partitionBy(KIND)
         .parquet(own.path)
@@ -148,10 +166,20 @@ def load_table(spark: SparkSession, table: str, path: str, target: str, multi_li
     if not counts["good"]:  # a table without rows still has its columns
         empty = records.filter(F.lit(False))
         empty.write.mode("overwrite").parquet(f"{own.path}/{KIND}={GOOD}")
+    if audit:
+        # kept before the version can be seen, so a finished version has its own profile
+        profile = {k: v for k, v in counts.items() if k not in ("good", "bad")}
+        write_manifest(spark, f"{own.path}/{PROFILE_FILE}", {"period": str(period), "seen": profile})
     own.publish()
     return counts["good"], counts["bad"]
 
 
+def loaded_profile(spark: SparkSession, target: str, table: str, period: Period) -> dict | None:
+    """What was observed while the current version was written; None if not for this period."""
+    kept = read_manifest(spark, f"{current_path(spark, f'{target}/{table}')}/{PROFILE_FILE}")
+    return kept["seen"] if kept and kept["period"] == str(period) else None
+
+
 def loaded_table(spark: SparkSession, target: str, table: str) -> DataFrame:
     """The well-formed records of the current version, all columns as text."""
     return spark.read.parquet(f"{current_path(spark, f'{target}/{table}')}/{KIND}={GOOD}").drop(MALFORMED)
@@ -169,6 +197,7 @@ def load_catalog(
     target: str,
     multi_line: bool = False,
     at_once: int = LOADS_AT_ONCE,
+    period: Period | None = None,
 ) -> LoadReport:
     """Load each table from its file, replacing it; a bad file does not stop the rest.
 
@@ -180,7 +209,7 @@ def load_catalog(
 
     def load(table: str) -> tuple[int, int] | Exception:
         try:
-            return load_table(spark, table, files[table], target, multi_line)
+            return load_table(spark, table, files[table], target, multi_line, period)
         except Exception as failure:  # noqa: BLE001 - recorded, the other tables still load
             return failure
 
