@@ -8,10 +8,13 @@ go to the first language in code point order.
 
 Texts are whole, lower-cased, with every run of non-letters as one blank. They are parsed in
 stretches of ``STRETCH`` symbols, so that numpy follows thousands of stretches at once through
-the automaton's transition table.
+the automaton. Its transitions are sparse: one cell each in a double array, whatever the number of
+letters, so Han or Hangul labels take no more room than Latin ones.
 
 Learning uses at most ``SAMPLE_DOCS`` distinct texts (about; those of lowest hash) and
-``SAMPLE_SYMBOLS`` symbols per language; this bounds the model. Null text and text without letters
+``SAMPLE_SYMBOLS`` symbols per language, as evenly from all of these texts as their lengths allow.
+This bounds the model: an automaton over n symbols has at most 3 n transitions, and ``MAX_CELLS``
+cells are asserted. Other columns of the documents pass through, whatever their names. Null text and text without letters
 give ``und`` and score 0, as does any text if no labelled text exists. Repeated rows are
 predicted alike; an empty table gives no rows.
 """
@@ -32,16 +35,22 @@ from shelfwise.llm.common import id_remainder, table
 SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 30_000
 STRETCH = 512
+SPARE = 4  # characters read of a sampled text for each that its share asks for: runs of blanks shrink
+MAX_CELLS = 8 * SAMPLE_SYMBOLS
 PIECE_CHARS = 2_000_000
 FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
 _OTHER, _BLANK = 0, 1  # symbols: a letter no sample has, any run of non-letters
 
 
+_TO = (1 << 32) - 1  # lower half of a cell: where the transition leads; upper half: whose it is
+
+
 def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transition table, flat: entry ``state + symbol`` is the next state, 0 if there is none.
+    """Transitions as one array of cells: that of a state for a symbol is at ``state + symbol``, if
+    the upper half of the cell names the state; the lower half is the next state.
 
-    States are multiples of ``alphabet``; the start is 0, which no transition leads to.
+    The start is state 0, which no transition leads to.
     """
     moves: list[dict[int, int]] = [{}]
     length, link = [0], [-1]
@@ -69,27 +78,71 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    out = np.zeros((len(moves), alphabet), dtype=np.int32)
+    return _cells(moves, alphabet)
+
+
+def _cells(moves: list[dict[int, int]], alphabet: int) -> np.ndarray:
+    """Places the states, those with most transitions first, where all their cells are free.
+
+    Every state has a number of its own, so the owner of a cell is known by it.
+    """
+    room = sum(map(len, moves)) + len(moves) + 2 * alphabet + 2
+    free = bytearray(b"\x01") * room  # grows as needed
+    taken: set[int] = set()
+    place = [0] * len(moves)
+    low = 0  # no cell below is free
+    by_size = sorted(range(1, len(moves)), key=lambda i: -len(moves[i]))
+    for state in [0, *by_size]:
+        wanted = sorted(moves[state])
+        first = wanted[0] if wanted else 0
+        cell = first if state == 0 else max(low, first + 1)
+        while True:
+            base = cell - first
+            if base + alphabet >= len(free):
+                free.extend(b"\x01" * (len(free) + alphabet))
+            if base not in taken and all(free[base + c] for c in wanted):
+                break
+            cell = free.find(1, cell + 1) if wanted else cell + 1
+            if cell < 0:
+                cell = len(free)
+        place[state] = base
+        taken.add(base)
+        for c in wanted:
+            free[base + c] = 0
+        if len(wanted) <= 1:  # from now on the cells are filled in order
+            low = free.find(1, low)
+    size = max(place) + alphabet + 1
+    if size > MAX_CELLS + 4 * alphabet:
+        raise ValueError(f"an automaton of {size} cells over {alphabet} symbols")
+    out = np.full(size, -1 << 32, dtype=np.int64)
     for state, to in enumerate(moves):
-        out[state, list(to)] = list(to.values())
-    return (out * alphabet).ravel()
+        for c, target in to.items():
+            out[place[state] + c] = place[state] << 32 | place[target]
+    return out
+
+
+def next_states(cells: np.ndarray, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Where each state's symbol leads; 0 if there is no such transition."""
+    found = cells[states + symbols]
+    return np.where(found >> 32 == states, found & _TO, 0)
 
 
-def count_phrases(moves: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+def count_phrases(cells: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Phrases of each stretch ``symbols[starts[i]:ends[i]]``."""
     order = np.argsort(starts - ends, kind="stable")  # longest first: the active ones lead
     at, sizes = starts[order], (ends - starts)[order]
-    state = np.zeros(len(order), dtype=np.int32)
+    state = np.zeros(len(order), dtype=np.int64)
     phrases = np.zeros(len(order), dtype=np.int32)
     active = len(order)
     for step in range(int(sizes[0]) if len(sizes) else 0):
         while active and sizes[active - 1] <= step:
             active -= 1
         c = symbols[at[:active] + step]
-        to = moves[state[:active] + c]
-        ended = to == 0
-        phrases[:active] += ended
-        state[:active] = np.where(ended, moves[c], to)
+        to = next_states(cells, state[:active], c)
+        ended = np.flatnonzero(to == 0)
+        phrases[ended] += 1
+        to[ended] = next_states(cells, 0, c[ended])
+        state[:active] = to
     phrases += state != 0
     out = np.empty_like(phrases)
     out[order] = phrases
@@ -126,6 +179,28 @@ def symbols_of(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return symbols[keep], before[np.minimum(begins, len(symbols))]
 
 
+def even_sample(symbols: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """At most ``size`` symbols, as many from each text as from any other that has so many; a
+    blank ends each stretch."""
+    ends = begins[1:]
+    lengths = np.diff(begins)
+    share, left = 0, size - len(lengths)
+    for rank, length in enumerate(np.sort(lengths).tolist()):
+        share = left // (len(lengths) - rank)
+        if length > share:
+            break
+        share = length
+        left -= length
+    blank = np.array([_BLANK], dtype=symbols.dtype)
+    stretches = [
+        part for b, e in zip(begins, ends, strict=False) if e > b for part in (symbols[b : min(e, b + share)], blank)
+    ]
+    joined = np.concatenate([*stretches, blank])
+    keep = np.ones(len(joined), dtype=bool)
+    keep[1:] = (joined[1:] != _BLANK) | (joined[:-1] != _BLANK)
+    return joined[keep][:size]
+
+
 def train(samples: dict[str, list[str]]) -> Model:
     """``samples``: language to texts, in the order in which they are used."""
     languages = sorted(samples)
@@ -133,8 +208,7 @@ def train(samples: dict[str, list[str]]) -> Model:
     model = Model("".join(letters), [], [], [])
     codes = model.symbol_table()
     for language in languages:
-        symbols, _ = symbols_of(samples[language], codes)
-        symbols = symbols[:SAMPLE_SYMBOLS]
+        symbols = even_sample(*symbols_of(samples[language], codes), SAMPLE_SYMBOLS)
         if len(symbols):
             model.languages.append(language)
             model.automata.append(suffix_automaton(symbols, len(letters) + 2))
@@ -189,15 +263,15 @@ def sample_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, list
     )
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(docs)) / F.col("n"))
+    enough = F.least(F.lit(SAMPLE_SYMBOLS), F.ceil(F.lit(SPARE * SAMPLE_SYMBOLS) / F.least("n", F.lit(docs))))
     # hashes are even over 64 bits, so a bound on them takes that share of the texts
     position = F.col("key") / F.lit(2.0**64) + 0.5
-    # one row per language
-    bound = F.broadcast(counts.select(F.col("lang").alias("b_lang"), share.alias("share")))
+    bound = counts.select(F.col("lang").alias("b_lang"), share.alias("share"), enough.cast("int").alias("enough"))
     few = (
         rows.join(bound, F.col("lang") == F.col("b_lang"))
         .where(position <= F.col("share"))
         .groupBy("lang", "key")
-        .agg(F.min(F.left("text", F.lit(SAMPLE_SYMBOLS))).alias("text"))
+        .agg(F.min(F.left("text", F.col("enough"))).alias("text"))
     )
     out: dict[str, list[str]] = {}
     for row in sorted(few.collect(), key=lambda r: (r["lang"], r["key"])):
@@ -234,8 +308,10 @@ def with_language(docs: DataFrame) -> DataFrame:
     model = train(sample_texts(docs.where(~held_out).select("lang", "text")))
     # not deterministic in name only: else the filter would identify every text a second time
     identify = identifier(docs.sparkSession, model).asNondeterministic()
-    found = docs.withColumn("_found", identify("text")).where(F.col("_found.lang") != UNDETERMINED)
-    return found.withColumn("lang", F.col("_found.lang")).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(whole.alias("doc"), identify("text").alias("found")).where(F.col("found.lang") != UNDETERMINED)
+    own = [F.col("found.lang") if c == "lang" else F.col("doc").getField(c) for c in docs.columns]
+    return found.select(*[c.alias(n) for c, n in zip(own, docs.columns, strict=True)])
 
 
 def op7_language(spark, sf_dir):

@@ -203,6 +203,34 @@ def test_unknown_symbol_ends_a_phrase():
     assert (count(2, 3, 2), count(5), count(2, 5), count(5, 5), count(2, 5, 3)) == (1, 1, 1, 2, 2)
 
 
+def test_many_letters_take_no_more_room():
+    """Han and Hangul labels: the automaton's size follows the sample, not the alphabet."""
+    rng = np.random.default_rng(8)
+    write = lambda low, n: ["".join(map(chr, rng.integers(low, low + n, 300))) for _ in range(150)]
+    samples = {"zh": write(0x4E00, 5000), "ko": write(0xAC00, 8000), "en": write(ord("a"), 26)}
+    model = language.train(samples)
+    assert model.languages == ["en", "ko", "zh"] and len(model.letters) > 12000
+    for cells, n in zip(model.automata, model.sizes, strict=True):
+        assert n <= language.SAMPLE_SYMBOLS and len(cells) <= 8 * n + 4 * (len(model.letters) + 2)
+    codes = model.symbol_table()
+    for name, texts in samples.items():
+        assert language.predict(model, [t[:120] for t in texts[:20]], codes)[0] == [name] * 20
+    small, _ = language.symbols_of(samples["zh"][:3], codes)
+    cells = language.suffix_automaton(small, len(model.letters) + 2)
+    text = np.concatenate([small[40:90], small[300:420], small[:30]])
+    got = language.count_phrases(cells, text, np.array([0]), np.array([len(text)]))[0]
+    assert got == plain_phrases("".join(map(chr, small + 100)), "".join(map(chr, text + 100)))
+
+
+def test_every_sampled_text_has_its_share():
+    codes = language.train({"x": ["abcdefg"]}).symbol_table()
+    symbols, begins = language.symbols_of(["a" * 1000, "b" * 10, "c" * 1000, "..."], codes)
+    got = language.even_sample(symbols, begins, 300).tolist()
+    counts = [got.count(codes[ord(c)]) for c in "abc"]
+    assert len(got) <= 300 and counts[1] == 10 and counts[0] == counts[2] > 130
+    assert language.even_sample(*language.symbols_of([], codes), 300).tolist() == [1]
+
+
 def test_language_rows(spark, docs):
     few = {"en": ["the dog and the cat are here with them"], "de": ["der hund und die katze sind hier bei ihnen"]}
     model = language.train(few)
@@ -227,6 +255,8 @@ def test_stage_writes_the_language_found(spark):
     assert out.columns == docs.columns and len(found) == 43
     assert (found[held[0]], found[held[1]], found[other[40]]) == ("de", "en", "de")
     assert all(found[i] == label for i, _, label, _ in rows[:40])
+    clashing = docs.withColumns({"_found": F.lit(7), "found": F.lit("x"), "a.b": F.lit(1)})
+    assert language.with_language(clashing).select("_found", "found", "`a.b`").distinct().collect() == [(7, "x", 1)]
 
 
 def test_language_held_out_accuracy(spark):
