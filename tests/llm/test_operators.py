@@ -377,9 +377,12 @@ def test_fingerprints_by_hand(spark, docs, tmp_path):
         kept = re.sub("^[^:]*:", "", row["fingerprint"])
         hashes = [int(kept[i : i + 16], 16) for i in range(0, len(kept), 16)]
         expected = plain_hashes(text)
-        below = sum(h <= fingerprints._BOUND for h in expected)
-        assert [h - (1 << 64) if h >> 63 else h for h in hashes] == expected[: max(below, fingerprints.AT_LEAST)]
-        assert 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
+        assert [h - (1 << 64) if h >> 63 else h for h in hashes] == [h for h in expected if h <= fingerprints._BOUND]
+        for name, other in (("near_edited", edited), ("near_next", following_text)):
+            x, y = set(expected), set(plain_hashes(other))
+            a, b = ({h for h in z if h <= fingerprints._BOUND} for z in (x, y))
+            want = 1.0 if x == y else len(a & b) / len(a | b) if a | b else 0.0
+            assert abs(row[name] - want) < 1e-12
 
 
 def test_merged_and_contained(spark):
