@@ -36,6 +36,7 @@ SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 30_000
 STRETCH = 512
 SPARE = 4  # characters read of a sampled text for each that its share asks for: runs of blanks shrink
+NEAR_CELLS = 16  # so far back free cells are looked for
 MAX_CELLS = 8 * SAMPLE_SYMBOLS
 PIECE_CHARS = 2_000_000
 FOLDS, HELD_OUT = 5, 0
@@ -90,10 +91,13 @@ def _cells(moves: list[dict[int, int]], alphabet: int) -> np.ndarray:
     free = bytearray(b"\x01") * room  # grows as needed
     taken: set[int] = set()
     place = [0] * len(moves)
-    low = 0  # no cell below is free
+    low = 0  # where to look for a free cell
     by_size = sorted(range(1, len(moves)), key=lambda i: -len(moves[i]))
+    single = False
     for state in [0, *by_size]:
         wanted = sorted(moves[state])
+        if state and len(wanted) == 1 and not single:
+            single, low = True, free.find(1)
         first = wanted[0] if wanted else 0
         cell = first if state == 0 else max(low, first + 1)
         while True:
@@ -109,8 +113,8 @@ def _cells(moves: list[dict[int, int]], alphabet: int) -> np.ndarray:
         taken.add(base)
         for c in wanted:
             free[base + c] = 0
-        if len(wanted) <= 1:  # from now on the cells are filled in order
-            low = free.find(1, low)
+        # states of several symbols leave gaps, which those of one symbol fill in order
+        low = max(low, cell - NEAR_CELLS)
     size = max(place) + alphabet + 1
     if size > MAX_CELLS + 4 * alphabet:
         raise ValueError(f"an automaton of {size} cells over {alphabet} symbols")
