@@ -271,6 +271,9 @@ def sample_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, list
     # hashes are even over 64 bits, so a bound on them takes that share of the texts
     position = F.col("key") / F.lit(2.0**64) + 0.5
     bound = counts.select(F.col("lang").alias("b_lang"), share.alias("share"), enough.cast("int").alias("enough"))
+    # one small row for each automaton that the model broadcasts; without the hint all texts of a
+    # language would meet in one task
+    bound = F.broadcast(bound)
     few = (
         rows.join(bound, F.col("lang") == F.col("b_lang"))
         .where(position <= F.col("share"))
