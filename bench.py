@@ -50,6 +50,7 @@ LAYERS = {
         "abc_running_total",
         "dim_product",
         "dim_date",
+        "daily_moments",
     ),
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import oracles
 from shelfwise.operators import abc, quality
+from shelfwise.operators.presented import Presentation
 from shelfwise.operators.profile import Profiles
 from shelfwise.plans import kpis, marts, measures, reports, staging
 from shelfwise.plans.measures import CLASS, PRODUCT, STORE, Slice, evaluate
@@ -29,6 +30,10 @@ SOME_BRANDS = Slice(brands=(11, 12, 21, 33, 47))
 LOWER_CLASSES = Slice(years=(1999,), abc_classes=("B", "C"))
 STORES_IN_TWO_MONTHS = Slice(stores=(3, 11), months=(6, 12))
 
+# How many rows the short forms of long reports show.
+RISKIEST = Presentation(top=25, per=("store_number",))
+MOST_URGENT = Presentation(top=200)
+
 GRAINS = {
     "total": [],
     "month": [measures.MONTH],
@@ -196,6 +201,7 @@ def _layer_jobs() -> dict[str, Job]:
         "dim05_date_labels": lambda w: marts.with_date_labels(w.table("dim_date")),
         "dim06_abc_labels": lambda w: marts.with_abc_labels(w.table("dim_product")),
         "fact01_sales": lambda w: w.build("fact_sales"),
+        "fact03_daily_moments": lambda w: w.build("daily_moments"),
         "fact02_inventory_snapshot": lambda w: w.build("fact_inventory_snapshot"),
         "abc01_product_revenue": lambda w: abc.product_revenue(w.table("fact_sales")),
         "abc02_running_total": lambda w: w.build("abc_running_total"),
@@ -243,8 +249,10 @@ def _report_jobs() -> dict[str, Job]:
         "rpt07_store_risk_quadrant": reports.store_risk_quadrant,
         "rpt08_dead_stock_by_store": reports.dead_stock_by_store,
         "rpt09_risk_detail": reports.risk_detail,
+        "rpt09_riskiest_per_store": lambda w: reports.risk_detail(w, shown=RISKIEST),
         "rpt10_replenish_cards": reports.replenish_cards,
         "rpt11_rop_gap": reports.rop_gap,
+        "rpt11_most_urgent": lambda w: reports.rop_gap(w, shown=MOST_URGENT),
         "rpt12_reorder_by_abc": reports.reorder_by_abc,
         "rpt13_top_reorder": reports.top_reorder,
         "rpt14_replenish_matrix": reports.replenish_matrix,

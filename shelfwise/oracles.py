@@ -397,6 +397,7 @@ SELECT *, COALESCE(abc_class, 'Unclassified') AS abc_class_display,
 FROM dim_product""",
         "fact01_sales": "SELECT * FROM fact_sales",
         "fact02_inventory_snapshot": "SELECT * FROM fact_inventory_snapshot",
+        "fact03_daily_moments": "\nUNION ALL ".join(_moments(*keys) for keys in MOMENTS_OF),
         "abc01_product_revenue": """
 SELECT product_sk, CAST(total_sales_dollars AS DECIMAL(22,2)) AS total_sales_dollars
 FROM abc_revenue""",
@@ -759,6 +760,14 @@ FROM {store} WHERE ending_inventory_value IS NOT NULL""",
             f"""SELECT store_number, brand, cls AS abc_class_display, current_stock_qty,
 sales_qty_last_90_days, dead_stock_value, dead_stock_flag, inventory_status, stock_record_status,
 sku_lifecycle_status, risk_priority_sort FROM {pair}""",
+        ),
+        "rpt09_riskiest_per_store": measures_sql(
+            "product_store",
+            f"""SELECT store_number, brand, cls AS abc_class_display, current_stock_qty,
+sales_qty_last_90_days, dead_stock_value, dead_stock_flag, inventory_status, stock_record_status,
+sku_lifecycle_status, risk_priority_sort FROM {pair}
+QUALIFY ROW_NUMBER() OVER (PARTITION BY store_number ORDER BY risk_priority_sort NULLS FIRST,
+  dead_stock_value DESC NULLS LAST, sales_qty_last_90_days DESC NULLS LAST, brand NULLS FIRST) <= 25""",
         ),
         "rpt10_replenish_cards": measures_sql(
             "total",
@@ -768,6 +777,12 @@ sku_lifecycle_status, risk_priority_sort FROM {pair}""",
             "product_store",
             f"""SELECT store_number, brand, current_stock_qty, reorder_point_qty, stock_vs_rop_gap
 FROM {pair} WHERE stock_vs_rop_gap IS NOT NULL""",
+        ),
+        "rpt11_most_urgent": measures_sql(
+            "product_store",
+            f"""SELECT store_number, brand, current_stock_qty, reorder_point_qty, stock_vs_rop_gap
+FROM {pair} WHERE stock_vs_rop_gap IS NOT NULL
+ORDER BY stock_vs_rop_gap, store_number NULLS FIRST, brand NULLS FIRST LIMIT 200""",
         ),
         "rpt12_reorder_by_abc": measures_sql(
             "total",
@@ -849,9 +864,9 @@ FROM {product} WHERE total_revenue IS NOT NULL""",
             f"""SELECT brand, total_revenue, r AS velocity_rank FROM (
 SELECT *, ROW_NUMBER() OVER (ORDER BY total_revenue, product_sk) AS r, COUNT(*) OVER () AS n
 FROM {product} WHERE abc_class = 'C' AND total_revenue IS NOT NULL) c
-WHERE r * 5 <= n AND COALESCE((SELECT SUM(f.sales_quantity) FROM fact_sales f
+WHERE r * 5 <= n AND NOT EXISTS (SELECT 1 FROM fact_sales f
   WHERE f.product_sk = c.product_sk AND f.sales_date
-    BETWEEN date_trunc('quarter', DATE '{feed.PERIOD.end}') AND DATE '{feed.PERIOD.end}'), 0) = 0""",
+    BETWEEN date_trunc('quarter', DATE '{feed.PERIOD.end}') AND DATE '{feed.PERIOD.end}')""",
         ),
         "rpt22_dead_stock_clearance": with_ctes(
             f"""SELECT d.store_number, p.brand, {_CLASS_OF} AS abc_class_display,
@@ -915,6 +930,31 @@ FROM (SELECT *, CASE WHEN beg IS NOT NULL OR fin IS NOT NULL
         GROUP BY ROLLUP (store_sk, cls))) g
 LEFT JOIN dim_store d ON g.store_sk = d.store_sk"""
 
+CTES |= {
+    "moment_days": """
+SELECT f.sales_date, f.product_sk, f.store_sk, c.cls, f.q
+FROM (SELECT sales_date, product_sk, store_sk, SUM(sales_quantity) AS q FROM fact_sales GROUP BY 1, 2, 3) f
+LEFT JOIN (SELECT b.product_sk, COALESCE(l.abc_class, 'Unclassified') AS cls
+  FROM product_base b LEFT JOIN abc_labels l ON b.product_sk = l.product_sk) c ON f.product_sk = c.product_sk""",
+}
+
+
+def _moments(*keys: str) -> str:
+    """Daily moments by some of ``cls``, ``product_sk`` and ``store_sk``, in that order."""
+    columns = {"cls": "abc_class_display", "product_sk": "product_sk", "store_sk": "store_sk"}
+    kinds = {"cls": "VARCHAR", "product_sk": "BIGINT", "store_sk": "BIGINT"}
+    shown = ", ".join(f"{k if k in keys else f'CAST(NULL AS {kinds[k]})'} AS {c}" for k, c in columns.items())
+    by = ", ".join(["sales_date", *keys])
+    over = ", ".join(["sales_month", *keys])
+    return f"""SELECT '{"_".join(columns[k] for k in keys) or "all"}' AS moments_of, sales_month, {shown},
+  CAST(SUM(x) AS DECIMAL(38,2)) AS sx, CAST(SUM(x * x) AS DECIMAL(38,4)) AS sxx, COUNT(x) AS n,
+  COUNT(sales_date) AS active_days
+FROM (SELECT CAST(year(sales_date) * 100 + month(sales_date) AS INTEGER) AS sales_month, {by},
+        CAST(SUM(q) AS DECIMAL(18,2)) AS x FROM moment_days GROUP BY ALL) GROUP BY {over}"""
+
+
+MOMENTS_OF = [(), ("store_sk",), ("cls",), ("cls", "store_sk"), ("product_sk",), ("product_sk", "store_sk")]
+
 # the slicers of rpt16: one year, two months, one class
 SLICED_SQL = """
 SELECT d.store_number, CAST(s.rev AS DECIMAL(28,2)) AS total_revenue,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,16 @@ from shelfwise.operators.ordered import ROWS_PER_RANGE, number_rows
 BEGINNING, ENDING = "BEGINNING", "ENDING"
 NAME_WIDTH = 9
 
+# the sets of keys that daily moments are kept for
+MOMENT_KEYS = [
+    [],
+    ["store_sk"],
+    ["abc_class_display"],
+    ["abc_class_display", "store_sk"],
+    ["product_sk"],
+    ["product_sk", "store_sk"],
+]
+
 
 def _latest_name_per_key(tables: list[DataFrame], key: str, name: str) -> DataFrame:
     """The greatest name per key over all tables.
@@ -144,6 +155,41 @@ def daily_sales(stored_sales: DataFrame) -> DataFrame:
     )
 
 
+def moments_of(keys: Iterable[str]) -> str:
+    """The value of ``moments_of`` in ``daily_moments`` for its rows by ``keys``."""
+    return "_".join(sorted(keys)) or "all"
+
+
+def daily_moments(daily: DataFrame, products: DataFrame) -> DataFrame:
+    """Per month and each set of keys in ``MOMENT_KEYS``: sums over the days of the month of the
+    daily quantity and of its square, days with a quantity, and days with sales.
+
+    Means and deviations of daily quantities do not add up over stores or products, since those
+    share days, but over months they do: these four are added up instead of the days. Days are
+    added up by all sets of keys at once, so the daily sales are read and shuffled once.
+    """
+    x, of = F.col("x"), "moments_of"
+    names = sorted({k for keys in MOMENT_KEYS for k in keys})
+    day = ["sales_month", "sales_date"]
+    classes = products.select("product_sk", abc_display().alias("abc_class_display"))
+    # a key can be NULL by itself, so the rows carry the names of their keys
+    named = F.concat_ws("_", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in names])
+    per_day = (
+        daily.join(classes, "product_sk", "left")
+        .groupingSets([[*day, *keys] for keys in MOMENT_KEYS], *day, *names)
+        .agg(F.coalesce(F.nullif(named, F.lit("")), F.lit("all")).alias(of), F.sum("sales_quantity").alias("x"))
+    )
+    return (
+        per_day.groupBy(of, "sales_month", *names)
+        .agg(
+            F.sum("x").cast("decimal(38,2)").alias("sx"),
+            F.sum(x * x).cast("decimal(38,4)").alias("sxx"),
+            F.count("x").alias("n"),
+            F.count("sales_date").alias("active_days"),
+        )
+    )
+
+
 def fact_inventory_snapshot(
     beginning: DataFrame, ending: DataFrame, products: DataFrame, stores: DataFrame
 ) -> DataFrame:

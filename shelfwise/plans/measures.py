@@ -31,7 +31,7 @@ from shelfwise.functions.labels import (
     risk_priority,
     stock_record_status,
 )
-from shelfwise.plans.marts import BEGINNING, ENDING, sales_month
+from shelfwise.plans.marts import BEGINNING, ENDING, moments_of, sales_month
 from shelfwise.plans.warehouse import Warehouse
 
 PRODUCT, STORE, CLASS, MONTH = "product_sk", "store_sk", "abc_class_display", "year_month"
@@ -192,13 +192,15 @@ class Context:
 
     # -- facts ------------------------------------------------------------------
 
+    def _in_stores(self, fact: DataFrame) -> DataFrame:
+        if not self.where.stores:
+            return fact
+        stores = self.w.table("dim_store").filter(F.col("store_number").isin(*self.where.stores))
+        return fact.join(stores.select(STORE), STORE, "left_semi")
+
     def _sliced(self, fact: DataFrame) -> DataFrame:
         """Product and store slicers, as semi joins before anything is aggregated."""
-        if self.where.stores:
-            stores = self.w.table("dim_store").filter(
-                F.col("store_number").isin(*self.where.stores)
-            )
-            fact = fact.join(stores.select(STORE), STORE, "left_semi")
+        fact = self._in_stores(fact)
         if self.where.abc_classes or self.where.brands:
             fact = fact.join(self.picked_products().select(PRODUCT), PRODUCT, "left_semi")
         return fact
@@ -234,6 +236,36 @@ class Context:
             fact = fact.withColumn(MONTH, F.date_format("sales_date", "yyyy-MM"))
         return fact
 
+    def moments(self, keys: list[str]) -> DataFrame | None:
+        """Stored daily moments by ``keys``, one row per month of the context.
+
+        None where only the days tell: moments add up over months, so a slicer has to choose
+        among the keys' own values. Vendors are in the single sales only.
+        """
+        finest = [k for k in (PRODUCT, STORE, CLASS) if k in keys and not (k == CLASS and PRODUCT in keys)]
+        by_class = self.where.abc_classes and CLASS in finest
+        if (
+            self.where.vendors
+            or (self.where.stores and STORE not in finest)
+            or (self.where.brands and PRODUCT not in finest)
+            or (self.where.abc_classes and not by_class and PRODUCT not in finest)
+        ):
+            return None
+        months = self.w.table("daily_moments").filter(F.col("moments_of") == moments_of(finest))
+        if by_class:
+            months = months.filter(F.col(CLASS).isin(*self.where.abc_classes))
+            months = self._in_stores(months)
+        else:
+            months = self._sliced(months)
+        first_day = F.to_date((F.col("sales_month") * 100 + 1).cast("string"), "yyyyMMdd")
+        if self.where.has_dates:
+            months = months.filter(self.where.dates(first_day))
+        if self.by_month:
+            months = months.withColumn(MONTH, F.date_format(first_day, "yyyy-MM"))
+        if CLASS in keys and CLASS not in finest:
+            months = months.drop(CLASS).join(self.products.select(PRODUCT, CLASS), PRODUCT, "left")
+        return months
+
     def window_sales(self) -> DataFrame:
         """Sales of the 90 days up to the end of each date context.
 
@@ -357,21 +389,37 @@ def _sources(ctx: Context, wanted: set[str]) -> list[tuple[DataFrame, dict[str,
     return sources
 
 
-def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFrame:
-    """Average and deviation of the daily quantity, safety stock and reorder point.
-
-    First one row per key and day, then three sums per key. A hot product is spread
-    over its days in the first shuffle and reduced to one row per task in the second.
-    """
-    keys = ctx.keys(*extra)
+def _day_moments(ctx: Context, keys: list[str], *extra: str) -> DataFrame:
+    """The moments of a context that months cannot tell: first one row per key and day, then
+    sums per key. A hot product is spread over its days in the first shuffle and reduced to one
+    row per task in the second."""
     per_day = ctx.sums([(ctx.sales(), {"x": F.col("sales_quantity")})], *extra, "sales_date")
     x = F.col("x")
-    per_key = per_day.groupBy(*keys).agg(
+    return per_day.groupBy(*keys).agg(
         F.sum("x").cast("double").alias("sx"),
         F.sum(x * x).cast("double").alias("sxx"),
         F.count("x").alias("n"),
         F.count("sales_date").alias("active_days"),
     )
+
+
+def daily_statistics(ctx: Context, params: Replenishment, *extra: str) -> DataFrame:
+    """Average and deviation of the daily quantity, safety stock and reorder point.
+
+    From the stored moments of the months where these tell, else from the days.
+    """
+    keys = ctx.keys(*extra)
+    months = ctx.moments(keys)
+    if months is None:
+        per_key = _day_moments(ctx, keys, *extra)
+    else:
+        # exact sums become doubles once they are complete, as those over days do
+        per_key = months.groupBy(*keys).agg(
+            F.sum("sx").cast("double").alias("sx"),
+            F.sum("sxx").cast("double").alias("sxx"),
+            F.sum("n").alias("n"),
+            F.sum("active_days").alias("active_days"),
+        )
     if ctx.by_month:
         per_key = per_key.join(ctx.calendar_days(), MONTH)
         calendar_days = F.col("calendar_days")

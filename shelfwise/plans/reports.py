@@ -15,6 +15,7 @@ from shelfwise.functions.labels import (
     risk_quadrant,
 )
 from shelfwise.operators.ordered import number_rows
+from shelfwise.operators.presented import ALL_IN_ORDER, Presentation
 from shelfwise.plans import kpis
 from shelfwise.plans.marts import sales_month
 from shelfwise.plans.measures import (
@@ -129,7 +130,9 @@ def dead_stock_by_store(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     )
 
 
-def risk_detail(w: Warehouse, where: Slice = Slice()) -> DataFrame:
+def risk_detail(
+    w: Warehouse, where: Slice = Slice(), shown: Presentation = ALL_IN_ORDER
+) -> DataFrame:
     """Every store and SKU with stock or sales records, the riskiest first per store."""
     names = [
         "current_stock_qty",
@@ -145,13 +148,14 @@ def risk_detail(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     named = rows.join(_product_names(w, "brand", abc_display().alias(CLASS)), PRODUCT, "left").join(
         _store_numbers(w), STORE, "left"
     )
-    return named.select("store_number", "brand", CLASS, *names).orderBy(
-        "store_number",
-        "risk_priority_sort",
+    riskiest = [
+        F.asc("store_number"),
+        F.asc("risk_priority_sort"),
         F.desc_nulls_last("dead_stock_value"),
         F.desc_nulls_last("sales_qty_last_90_days"),
-        "brand",
-    )
+        F.asc("brand"),
+    ]
+    return shown.of(named.select("store_number", "brand", CLASS, *names), riskiest)
 
 
 def replenish_cards(w: Warehouse, where: Slice = Slice()) -> DataFrame:
@@ -159,16 +163,17 @@ def replenish_cards(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     return evaluate(w, [], names, where)
 
 
-def rop_gap(w: Warehouse, where: Slice = Slice()) -> DataFrame:
+def rop_gap(w: Warehouse, where: Slice = Slice(), shown: Presentation = ALL_IN_ORDER) -> DataFrame:
+    """Every store and SKU, the largest lack of stock first."""
     names = ["current_stock_qty", "reorder_point_qty", "stock_vs_rop_gap"]
     rows = evaluate(w, [PRODUCT, STORE], names, where)
-    return (
+    named = (
         rows.filter(F.col("stock_vs_rop_gap").isNotNull())
         .join(_product_names(w, "brand"), PRODUCT, "left")
         .join(_store_numbers(w), STORE, "left")
         .select("store_number", "brand", *names)
-        .orderBy("stock_vs_rop_gap", "store_number", "brand")
     )
+    return shown.of(named, [F.asc("stock_vs_rop_gap"), F.asc("store_number"), F.asc("brand")])
 
 
 def reorder_by_abc(w: Warehouse, where: Slice = Slice()) -> DataFrame:
@@ -211,7 +216,9 @@ REPLENISHMENT = [
 ]
 
 
-def replenish_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
+def replenish_matrix(
+    w: Warehouse, where: Slice = Slice(), shown: Presentation = ALL_IN_ORDER
+) -> DataFrame:
     """Priority group, brand and store, with subtotals evaluated at their own level:
     a reorder point of a group is not the sum of those of its stores."""
     brands = _product_names(w, "brand", "abc_class").select(
@@ -222,7 +229,7 @@ def replenish_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
     level = F.when(of_class, "group").when(F.col(LEVEL) == STORE, "store").otherwise("brand")
     rows = evaluate_levels(w, REPLENISHMENT, where).select("*", known_class, level.alias("level"))
     group_of_class = F.when(F.col(CLASS).isNotNull(), abc_priority_group())
-    return (
+    named = (
         rows.join(brands, PRODUCT, "left")
         .join(_store_numbers(w), STORE, "left")
         .select(
@@ -232,15 +239,16 @@ def replenish_matrix(w: Warehouse, where: Slice = Slice()) -> DataFrame:
             "store_number",
             *REPLENISHMENT,
         )
-        .orderBy(
-            F.asc_nulls_last("reorder_alert_sort"),
-            F.asc_nulls_last("stock_vs_rop_gap"),
-            F.desc_nulls_last("avg_daily_sales_qty"),
-            "abc_priority_group",
-            F.asc_nulls_first("brand"),
-            F.asc_nulls_first("store_number"),
-        )
     )
+    most_urgent = [
+        F.asc_nulls_last("reorder_alert_sort"),
+        F.asc_nulls_last("stock_vs_rop_gap"),
+        F.desc_nulls_last("avg_daily_sales_qty"),
+        F.asc("abc_priority_group"),
+        F.asc_nulls_first("brand"),
+        F.asc_nulls_first("store_number"),
+    ]
+    return shown.of(named, most_urgent)
 
 
 def sku_detail(w: Warehouse, where: Slice = Slice()) -> DataFrame:
@@ -336,8 +344,8 @@ def sku_week_run_rate(w: Warehouse, where: Slice = Slice()) -> DataFrame:
 
 
 def bottom_c_class(w: Warehouse, where: Slice = Slice()) -> DataFrame:
-    """Class C products in the lowest fifth by revenue that sold nothing in the last calendar
-    quarter of the period."""
+    """Class C products in the lowest fifth by revenue without a sale in the last calendar
+    quarter of the period. Sold and returned is sold."""
     rows = evaluate(
         w, [PRODUCT], ["total_revenue"], where
     )
@@ -354,9 +362,8 @@ def bottom_c_class(w: Warehouse, where: Slice = Slice()) -> DataFrame:
         .all_sales()
         .filter((day >= F.lit(period.last_quarter_start)) & (day <= F.lit(period.end)))
         .filter(F.col("sales_month") >= sales_month(F.lit(period.last_quarter_start)))
-        .groupBy(PRODUCT)
-        .agg(F.sum("sales_quantity").alias("sold_lately"))
-        .filter("sold_lately <> 0")
+        .select(PRODUCT)
+        .distinct()
     )
     slow = placed.filter(F.col("velocity_rank") * BOTTOM_SHARE <= F.col("class_size"))
     return slow.join(lately, PRODUCT, "left_anti").select("brand", "total_revenue", "velocity_rank")

@@ -24,6 +24,7 @@ _opened: dict[tuple[str, str], "Warehouse"] = {}
 PARTITION = {
     "fact_sales": "sales_month",
     "daily_sales": "sales_month",
+    "daily_moments": "moments_of",
     "fact_inventory_snapshot": "snapshot_type",
 }
 
@@ -230,6 +231,8 @@ class Warehouse:
             )
         if name == "daily_sales":
             return marts.daily_sales(t("fact_sales"))
+        if name == "daily_moments":
+            return marts.daily_moments(t("daily_sales"), t("dim_product"))
         if name == "fact_inventory_snapshot":
             return marts.fact_inventory_snapshot(
                 t("stg_beg_inventory"), t("stg_end_inventory"), t("product_base"), t("dim_store")
