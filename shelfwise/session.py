@@ -76,9 +76,20 @@ def drop_cuts(spark: SparkSession, prefix: str = "", since: int = 0) -> None:
 
     Only for when every result that was computed from them has been written.
     """
+    drop_these(spark, [p for p in cuts_since(spark, since) if p.rpartition("/")[2].startswith(prefix)])
+
+
+def cuts_since(spark: SparkSession, since: int) -> list[str]:
+    """The copies made after the first ``since`` ones."""
+    return _cuts.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def drop_these(spark: SparkSession, gone: list[str]) -> None:
+    """Remove copies by their paths; what has gone already does not matter."""
     paths = _cuts.get(spark.sparkContext.applicationId, [])
-    gone = [p for p in paths[since:] if p.rpartition("/")[2].startswith(prefix)]
     for path in gone:
+        if path not in paths:
+            continue
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         paths.remove(path)
