@@ -27,6 +27,17 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_GAP))
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added beside it meet no others of their name."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, doc: str = "doc", **changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``doc``, with other values for those ``changed``."""
+    own = [changed.get(c, F.col(doc).getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*own)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import table, words, written
+from shelfwise.llm.common import table, unfolded, whole, words, written
 
 ROWS_PER_RANGE = 20_000
 _START = Window.unboundedPreceding
@@ -104,7 +104,7 @@ def weighted_mix(
         "doc_id",
         "source",
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
-        F.struct(*extra).alias("extra") if extra else F.lit(None).cast("string").alias("extra"),
+        F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra") if extra else F.lit(None).cast("string").alias("extra"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias(
             "shuffle_key"
         ),
@@ -166,31 +166,31 @@ def weighted_mix(
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: as many copies of a document as it is taken whole, and the
-    words that are taken of the last one in part."""
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    mix = weighted_mix(
-        own.select("doc_id", "source", F.size(words(F.col("text"))).alias("size"), "_hash")
-    )
-    taken = mix.groupBy("doc_id", "source", "_hash").agg(
-        F.sum("taken").alias("taken"), F.max("size").alias("size")
-    )
-    taken = taken.where("taken > 0").toDF("_t_id", "_t_source", "_t_hash", "_taken", "_size")
+    words that are taken of the last one in part. Other columns stay as they are, whatever their
+    names, but for ``n_chars``, which is counted anew."""
+    hashed = F.xxhash64("text").alias("hash")
+    mix = weighted_mix(docs.select("doc_id", "source", F.size(words(F.col("text"))).alias("size"), hashed))
+    taken = mix.groupBy("doc_id", "source", "hash").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    taken = taken.where("taken > 0").toDF("t_id", "t_source", "t_hash", "taken", "size")
+    own = docs.select(whole(docs).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("of"), hashed)
     met = (
-        F.col("doc_id").eqNullSafe(F.col("_t_id"))
-        & F.col("source").eqNullSafe(F.col("_t_source"))
-        & (F.col("_hash") == F.col("_t_hash"))
+        F.col("id").eqNullSafe(F.col("t_id"))
+        & F.col("of").eqNullSafe(F.col("t_source"))
+        & (F.col("hash") == F.col("t_hash"))
     )
     # repeated rows have been added up
-    own = own.dropDuplicates(["doc_id", "source", "_hash"]).join(taken, met)
-    rest = F.col("_taken") % F.col("_size")
-    copies = F.array_repeat(F.col("_size"), F.expr("_taken div _size").cast("int"))
+    own = own.dropDuplicates(["id", "of", "hash"]).join(taken, met)
+    rest = F.col("taken") % F.col("size")
+    copies = F.array_repeat(F.col("size"), F.expr("taken div size").cast("int"))
     last = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
-    own = own.withColumn("_words", F.explode_outer(F.concat(copies, last)))
-    part = F.array_join(F.slice(words(F.col("text")), 1, F.col("_words").cast("int")), " ")
-    changed = {"text": F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text"))}
+    own = own.withColumn("n_words", F.explode_outer(F.concat(copies, last)))
+    text = F.col("doc.text")
+    part = F.array_join(F.slice(words(text), 1, F.col("n_words").cast("int")), " ")
+    text = F.when(F.col("n_words") < F.col("size"), part).otherwise(text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
-    return own.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unfolded(own, docs, **changed)
 
 
 def op9_mixing(spark, sf_dir):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from shelfwise.llm.common import table, written
+from shelfwise.llm.common import table, unfolded, whole, written
 from shelfwise.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -199,15 +199,15 @@ def with_components(rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of smallest id (null first) of each component, other columns kept."""
-    names = docs.columns
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    marks = own.select("doc_id", "_hash", fingerprints(F.col("text")).alias("mark"))
+    hashed = F.xxhash64("text").alias("hash")
+    marks = docs.select("doc_id", hashed, fingerprints(F.col("text")).alias("mark"))
     groups = with_components(written(marks, "simhash-docs"))
-    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "_hash")).alias("at"))
-    first = first.select(F.col("at.doc_id").alias("f_id"), F.col("at._hash").alias("f_hash"))
-    met = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_hash") == F.col("f_hash"))
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("at"))
+    first = first.select(F.col("at.doc_id").alias("f_id"), F.col("at.hash").alias("f_hash"))
+    own = docs.select(whole(docs).alias("doc"), F.col("doc_id").alias("id"), hashed)
+    met = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash"))
     # repeated rows have one id and text: one of them stays
-    return own.join(first, met, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*names)
+    return unfolded(own.join(first, met, "left_semi").dropDuplicates(["id", "hash"]), docs)
 
 
 def hex_mark(mark: Column) -> Column:

@@ -25,7 +25,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark, rows=ROWS):
     """The documents, with columns named like ones that operators add for themselves."""
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("mark", "size", "kept", "target", "score", "ids", "root", "taken", "host", "key"):
+    own = "mark size kept target score ids root taken host key hash id of doc at found n_words"
+    for name in [*own.split(), *[f"_{n}" for n in "hash taken size words kept_lines t_id k_id found".split()], "a.b"]:
         df = df.withColumn(name, F.lit("own"))
     return df
 

@@ -4,9 +4,11 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwise.llm import catalog
+from shelfwise.llm import catalog, mixing
+from shelfwise.session import cuts_since, cuts_so_far
 from tests.llm import cases
 from tools.check import canonical, same_kind
 
@@ -53,8 +55,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 @pytest.mark.parametrize("rows", [cases.ROWS, []])
 def test_pipeline_on_awkward_rows(spark, tmp_path, rows):
-    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    docs = cases.documents(spark, rows)
     docs = spark.read.parquet(cases.saved(spark, tmp_path / "in", documents=docs) + "/documents.parquet")
-    last = [after for _, _, after in stages(spark, docs, "", tmp_path)][-1]
+    *kept, last = [after for _, _, after in stages(spark, docs, "", tmp_path)]
+    own = docs.columns[len(cases.ROWS[0]) :]
+    for after in kept:
+        # columns named like those of the stages come through as they were
+        assert after.columns == docs.columns
+        assert all(set(r) == {"own"} for r in after.select(*[f"`{c}`" for c in own]).collect())
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert (last.count() > 0) == bool(rows)
+
+
+def test_stages_leave_the_copies_of_others(spark, tmp_path):
+    """A result that has not been read yet stays readable while the pipeline runs."""
+    docs = spark.createDataFrame(cases.ROWS, cases.SCHEMA)
+    other = mixing.weighted_mix(docs.select("doc_id", "source", F.length("text").alias("size")))
+    before = cuts_so_far(spark)
+    list(stages(spark, docs, "", tmp_path))
+    assert other.count() == docs.count()
+    # of its own copies only those of the last stages are left
+    left = {p.rpartition("/")[2].rpartition("-")[0] for p in cuts_since(spark, before)}
+    assert not left & {"llm-lines-banded", "llm-simhash-docs", "llm-mix-queue"}
