@@ -5,9 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.operators import abc
+from shelfwise.operators.ordered import number_rows
 from shelfwise.plans import marts
 from shelfwise.plans.measures import PRODUCT, STORE, Context, Slice, evaluate
 from shelfwise.plans.warehouse import Warehouse
+from shelfwise.session import write_and_read
 from shelfwise.sources.retail_feed import PERIOD, RetailFeed
 from tests import tiny
 
@@ -131,3 +134,43 @@ def test_daily_sales_are_shuffled_once(spark, raw, tmp_path):
     w = tiny.warehouse(spark, raw, str(tmp_path))
     text = plan(marts.daily_sales(w.table("fact_sales")))
     assert text.count("Exchange") == 1 and "rangepartitioning(sales_month" in text
+
+
+def test_daily_sales_need_no_stored_sales(spark, raw, tmp_path, monkeypatch):
+    """Nor vendors, and their sums and classes are those of the single sales."""
+    names = stored(monkeypatch)
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    days, running = w.table("daily_sales"), w.table("abc_running_total")
+    w.table("dim_date")
+    assert not {"fact_sales", "dim_vendor"} & set(names)
+    sales = w.table("fact_sales")
+    assert days.schema == marts.daily_sales(sales).select(days.columns).schema
+    same = marts.daily_sales(sales).select(days.columns).exceptAll(days)
+    assert days.count() == len(tiny.SALES) and same.isEmpty()
+    assert days.agg(F.sum("estimated_cogs")).first()[0] == sales.agg(F.sum("estimated_cogs")).first()[0] == 79
+    single = abc.with_running_total(abc.product_revenue(sales))
+    assert running.schema == single.schema and single.exceptAll(running).isEmpty()
+
+
+def test_moments_of_products_share_a_shuffle_and_are_kept_apart(spark, raw, tmp_path, monkeypatch):
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    text = plan(marts.daily_moments(w.table("daily_sales"), w.table("dim_product")))
+    found = re.findall(r"Exchange hashpartitioning\(sales_month#\d+, product_sk#\d+L, \d+\)", text)
+    assert len(found) == 2
+    names = stored(monkeypatch)
+    evaluate(w, [PRODUCT], ["avg_daily_sales_qty"])
+    assert "product_moments" in names and "summed_moments" not in names
+    names.clear()
+    evaluate(w, [STORE], ["avg_daily_sales_qty"])
+    assert names == ["summed_moments"]
+
+
+def test_copies_are_packed_by_zstandard(spark, tmp_path):
+    write_and_read(spark.range(10), str(tmp_path / "copy"))
+    assert list((tmp_path / "copy").glob("*.zstd.parquet"))
+
+
+def test_row_numbers_need_no_shuffle_of_rows(spark):
+    numbered = number_rows(spark.range(100).withColumnRenamed("id", "k"), [F.asc("k")], "n", rows_per_range=10)
+    assert "Window [row_number" not in plan(numbered) and plan(numbered).count("Exchange hashpartitioning(_range") == 1
+    assert [r.n for r in numbered.orderBy("k").collect()] == list(range(1, 101))
