@@ -79,3 +79,20 @@ def test_reorder_matrix_reads_each_table_once(spark, plan, queries):
     text = plan(queries["rpt14_replenish_matrix"](spark, SMALL))
     for column in ("sales_quantity", "quantity_on_hand"):  # of the daily sales, of the stock counts
         assert len(re.findall(rf"FileScan parquet.*ReadSchema: \S*{column}", text)) == 1, column
+
+
+def test_a_brand_sold_with_many_numbers_is_one_row_before_its_texts(spark, plan):
+    """Volumes and classifications fold by hash, with the texts as keys."""
+    w = Warehouse.over_feed(spark, SMALL)
+    text = plan(marts.product_rows(w.table("stg_purchase_prices"), w.table("stg_sales")))
+    below_union = text[text.index("Union") :]
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", below_union)
+    assert [len(k.split(", ")) for k in keys] == [4]  # brand, two texts and the number of partitions
+
+
+def test_parts_become_packs_behind_the_join(spark, plan):
+    w = Warehouse.over_feed(spark, SMALL)
+    text = plan(w.build("raw_purchase_prices"))
+    at = {name: text.index(name) for name in ("Generate posexplode", "FileScan parquet")}
+    assert at["Generate posexplode"] < at["FileScan parquet"]
+    assert re.search(r"Exchange hashpartitioning\(l_partkey#\d+L?, \d+\)", text)
