@@ -203,3 +203,24 @@ def test_levels_are_the_measures_of_their_grain(w, where):
 def test_levels_refuse_other_measures(w):
     with pytest.raises(ValueError, match="dead_stock_value"):
         evaluate_levels(w, ["dead_stock_value"])
+
+
+@pytest.mark.parametrize("grain", [[PRODUCT], [PRODUCT, STORE], [PRODUCT, CLASS, MONTH]], ids=str)
+@pytest.mark.parametrize("where", [Slice(), Slice(months=(10, 11, 12), stores=(1, 2))], ids=["all", "some"])
+def test_products_count_by_their_own_alert(w, grain, where):
+    """Beside an alert the count of a product is read off its row, and is the count by itself."""
+    both = evaluate(w, grain, ["reorder_alert", "reorder_sku_count"], where)
+    alone = evaluate(w, grain, ["reorder_sku_count"], where)
+    counted = [df.select(*grain, "reorder_sku_count").filter("reorder_sku_count IS NOT NULL") for df in (both, alone)]
+    assert sorted(map(str, counted[0].collect())) == sorted(map(str, counted[1].collect()))
+    assert both.schema["reorder_sku_count"].dataType == alone.schema["reorder_sku_count"].dataType
+    if grain == [PRODUCT, STORE] and where == Slice():
+        assert {r.reorder_sku_count for r in both.collect()} == {None, 1}
+
+
+def test_the_count_beside_an_alert_asks_for_no_more_shuffles(w):
+    def exchanges(*names):
+        text = evaluate(w, [PRODUCT, STORE], [*names])._jdf.queryExecution().executedPlan().toString()
+        return text.count("Exchange")
+
+    assert exchanges("reorder_alert", "reorder_sku_count") == exchanges("reorder_alert")
