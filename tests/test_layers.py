@@ -174,3 +174,23 @@ def test_row_numbers_need_no_shuffle_of_rows(spark):
     numbered = number_rows(spark.range(100).withColumnRenamed("id", "k"), [F.asc("k")], "n", rows_per_range=10)
     assert "Window [row_number" not in plan(numbered) and plan(numbered).count("Exchange hashpartitioning(_range") == 1
     assert [r.n for r in numbered.orderBy("k").collect()] == list(range(1, 101))
+
+
+def test_suppliers_are_known_by_their_own_size(spark, order_tables):
+    """A join with their nations would be taken for the product of both, and the lines shuffled for it."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "20k")
+    try:
+        lines = RetailFeed(spark, order_tables).lines()
+        assert "hashpartitioning(l_suppkey" not in plan(lines)
+    finally:
+        spark.conf.set(key, before)
+    assert [lines.schema[c].dataType.simpleString() for c in ("l_shipdate", "o_orderdate")] == ["date", "date"]
+    assert lines.count() == 12
+
+
+def test_stock_counts_are_laid_out_by_part(spark, order_tables):
+    feed = RetailFeed(spark, order_tables)
+    counted = feed.beg_inventory(feed.lines())
+    assert re.search(r"Exchange hashpartitioning\(l_partkey#\d+L, \d+\)", plan(counted))
+    assert counted.count() == 6
