@@ -194,3 +194,15 @@ def test_stock_counts_are_laid_out_by_part(spark, order_tables):
     counted = feed.beg_inventory(feed.lines())
     assert re.search(r"Exchange hashpartitioning\(l_partkey#\d+L, \d+\)", plan(counted))
     assert counted.count() == 6
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = kept(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    copy = write_and_read(spark.range(1000).repartition(3).groupBy("id").count(), str(tmp_path / "copy"))
+    left = kept() - before
+    assert not left and copy.count() == 1000
+    assert spark.conf.get(setting) == "false"
