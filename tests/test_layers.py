@@ -206,3 +206,14 @@ def test_shuffle_files_go_with_the_write(spark, tmp_path):
     left = kept() - before
     assert not left and copy.count() == 1000
     assert spark.conf.get(setting) == "false"
+
+
+def test_classes_wait_for_no_sales_mart(spark, raw, tmp_path, monkeypatch):
+    names = stored(monkeypatch)
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    running = w.table("abc_running_total")
+    w.table("dim_product")
+    assert not {"daily_sales", "fact_sales", "dim_store"} & set(names)
+    by_day = abc.with_running_total(abc.product_revenue(w.table("daily_sales")))
+    assert running.schema == by_day.schema
+    assert by_day.exceptAll(running).isEmpty() and running.exceptAll(by_day).isEmpty()
