@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import abc
 from shelfwise.operators.ordered import number_rows
-from shelfwise.plans import marts
-from shelfwise.plans.measures import PRODUCT, STORE, Context, Slice, evaluate
+from shelfwise.plans import marts, measures
+from shelfwise.plans.measures import CLASS, PRODUCT, STORE, Context, Slice, evaluate, evaluate_levels
 from shelfwise.plans.warehouse import Warehouse
 from shelfwise.session import write_and_read
 from shelfwise.sources.retail_feed import PERIOD, RetailFeed
@@ -217,3 +217,34 @@ def test_classes_wait_for_no_sales_mart(spark, raw, tmp_path, monkeypatch):
     by_day = abc.with_running_total(abc.product_revenue(w.table("daily_sales")))
     assert running.schema == by_day.schema
     assert by_day.exceptAll(running).isEmpty() and running.exceptAll(by_day).isEmpty()
+
+
+def hashed(df):
+    """The keys of the shuffles in a plan, without the number of partitions."""
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))
+    return [tuple(re.sub(r"#\d+L?", "", k) for k in keys.split(", ")[:-1]) for keys in found]
+
+
+def test_levels_meet_their_products_without_another_shuffle(spark, raw, tmp_path, no_broadcast):
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    levels = evaluate_levels(w, ["current_stock_qty", "reorder_point_qty", "reorder_alert"])
+    assert hashed(levels) == [(PRODUCT,)] * 3  # sales, stock and what is known of classes
+    brands = w.table("dim_product").select(PRODUCT, "brand")
+    assert hashed(levels.join(brands, PRODUCT, "left")) == [(PRODUCT,)] * 4
+
+
+@pytest.mark.parametrize("grain", [[PRODUCT, STORE], [CLASS]], ids=str)
+def test_facts_are_shuffled_by_product_where_products_are_looked_up(spark, raw, tmp_path, grain):
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    keys = hashed(evaluate(w, grain, measures.ALL))
+    assert {k for k in keys if PRODUCT in k} == {(PRODUCT,)}
+    if grain == [PRODUCT, STORE]:
+        assert set(keys) == {(PRODUCT,)}
+
+
+def test_single_sales_are_not_laid_out(spark, raw, tmp_path):
+    """A product can have any number of them."""
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    fact = w.table("fact_sales")
+    assert Context(w, [PRODUCT], Slice(vendors=(7,)), by_product=True).laid_out(fact) is fact
+    assert Context(w, [PRODUCT], Slice(), by_product=True).laid_out(fact) is not fact
