@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise import catalog
 from shelfwise.operators import abc
 from shelfwise.operators.ordered import number_rows
-from shelfwise.plans import marts, measures
+from shelfwise.plans import kpis, marts, measures
 from shelfwise.plans.measures import CLASS, PRODUCT, STORE, Context, Slice, evaluate, evaluate_levels
 from shelfwise.plans.warehouse import Warehouse
 from shelfwise.session import write_and_read
@@ -248,3 +249,12 @@ def test_single_sales_are_not_laid_out(spark, raw, tmp_path):
     fact = w.table("fact_sales")
     assert Context(w, [PRODUCT], Slice(vendors=(7,)), by_product=True).laid_out(fact) is fact
     assert Context(w, [PRODUCT], Slice(), by_product=True).laid_out(fact) is not fact
+
+
+def test_turnover_needs_no_stored_sales(spark, order_tables, monkeypatch):
+    names = stored(monkeypatch)
+    shown = catalog.queries()["kpi_a3_turnover_dsi"](spark, order_tables)
+    assert shown.count() == 1 and not {"fact_sales", "dim_vendor"} & set(names)
+    w = Warehouse.over_feed(spark, order_tables)
+    single = kpis.turnover_dsi(w.table("fact_sales"), w.table("fact_inventory_snapshot"))
+    assert single.schema == shown.schema and single.collect() == shown.collect()
