@@ -1,6 +1,7 @@
 """What is stored and shuffled on the way to a measure."""
 
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,14 @@ def test_turnover_needs_no_stored_sales(spark, order_tables, monkeypatch):
     w = Warehouse.over_feed(spark, order_tables)
     single = kpis.turnover_dsi(w.table("fact_sales"), w.table("fact_inventory_snapshot"))
     assert single.schema == shown.schema and single.collect() == shown.collect()
+
+
+def test_stores_wait_for_no_stock_count(spark, order_tables, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/orders"
+    shutil.copytree(order_tables, folder)  # a warehouse of its own
+    names = stored(monkeypatch)
+    w = Warehouse.over_feed(spark, folder)
+    stores = w.table("dim_store")
+    assert names == ["dim_store", "feed_lines"]
+    counted = marts.dim_store(w.table("stg_beg_inventory"), w.table("stg_end_inventory"), w.table("stg_sales"))
+    assert stores.schema == counted.schema and sorted(stores.collect()) == sorted(counted.collect())
