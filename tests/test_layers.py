@@ -270,3 +270,11 @@ def test_stores_wait_for_no_stock_count(spark, order_tables, tmp_path, monkeypat
     assert names == ["dim_store", "feed_lines"]
     counted = marts.dim_store(w.table("stg_beg_inventory"), w.table("stg_end_inventory"), w.table("stg_sales"))
     assert stores.schema == counted.schema and sorted(stores.collect()) == sorted(counted.collect())
+
+
+@pytest.mark.parametrize("grain", [[CLASS], [PRODUCT]], ids=str)
+def test_lowest_stock_is_shuffled_by_product_once(spark, raw, tmp_path, grain, no_broadcast):
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    keys = hashed(measures.lowest_store_stock(Context(w, grain, Slice())))
+    assert {k for k in keys if PRODUCT in k} == {(PRODUCT,)}
+    assert len(keys) == (1 if grain == [PRODUCT] else 4)  # products, stores of a class, classes
