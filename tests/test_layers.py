@@ -278,3 +278,10 @@ def test_lowest_stock_is_shuffled_by_product_once(spark, raw, tmp_path, grain, n
     keys = hashed(measures.lowest_store_stock(Context(w, grain, Slice())))
     assert {k for k in keys if PRODUCT in k} == {(PRODUCT,)}
     assert len(keys) == (1 if grain == [PRODUCT] else 4)  # products, stores of a class, classes
+
+
+def test_picked_brands_need_no_shuffle_of_the_facts(spark, raw, tmp_path, no_broadcast):
+    w = tiny.warehouse(spark, raw, str(tmp_path))
+    ctx = Context(w, [STORE], Slice(brands=(10, 30)))
+    assert "Exchange hashpartitioning" not in plan(ctx.sales()) + plan(ctx.snapshot())
+    assert ctx.sales().count() == 5 and ctx.snapshot().count() == 3
